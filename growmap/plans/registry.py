@@ -1,4 +1,9 @@
 """Query names of the library, with their DuckDB twins."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+import inspect
+
+from growmap.plans import queries, twins
+
+_HELPERS = ("table", "rows_of", "neurons_of", "holed", "scored", "r6")
+QUERIES = {n: f for n, f in vars(queries).items() if inspect.isfunction(f) and f.__module__ == queries.__name__ and n[0] != "_" and n not in _HELPERS}
+SQL = twins.SQL
