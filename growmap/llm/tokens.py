@@ -29,8 +29,18 @@ from pyspark.sql import functions as F
 
 from growmap.llm.common import table
 
+#: Letters and numbers assigned after Unicode 16, which the library takes for neither.
+LATER = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A "
+    "11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 "
+    "18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED "
+    "1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+NEITHER = "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in LATER.split())
+#: Lower case of letters that this Python's tables don't have yet.
+LOWER = dict(zip("\u1c89\ua7cb\ua7cc\ua7ce\ua7d2\ua7d4\ua7da\ua7dc", "\u1c8a\u0264\ua7cd\ua7cf\ua7d3\ua7d5\ua7db\u019b")) | {chr(c): chr(c + 0x20) for c in range(0x10D50, 0x10D66)} | {chr(c): chr(c + 0x1B) for c in range(0x16EA0, 0x16EB9)}
 #: The pre-tokenizer's words, and the white space between them. Fixed values of the file's format.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORDS = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{NEITHER}]]+|[\p{{N}}--[{NEITHER}]]|(?:[^\s\p{{L}}\p{{N}}]|[{NEITHER}])+"
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: str.split() takes these for white space too, the library doesn't.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -192,7 +202,7 @@ class Counter(dict):
             if chunk.isalpha():
                 return self.by_word[chunk]
         else:
-            chunk = "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
+            chunk = "".join(LOWER.get(c) or c.lower() for c in unicodedata.normalize("NFC", chunk))
         return sum(map(self.by_word.__getitem__, self.words.findall(chunk)))
 
     def count(self, text: str | None) -> int:
