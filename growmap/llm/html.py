@@ -26,29 +26,34 @@ from pyspark.sql import functions as F
 
 from growmap.llm.common import table
 
-#: Fixed values of HTML: block-level elements, those whose content is no text, and those without content.
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|audio|video|select|button"
+#: Fixed values of HTML: block-level elements, those whose content is raw or no text of the page, and those
+#: without content.
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+RAW = "script|style|noscript|template|textarea|title|iframe"
+DROPPED = frozenset("svg canvas object audio video select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the key closes an open element of the value.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BOILER = frozenset("nav header footer aside form menu dialog fieldset label".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in a class, id or role that tell boilerplate.
 HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promoted promotion banner "
+    "ad ads adv adsbygoogle advert adverts advertisement advertising adbox adslot sponsor sponsored promo promoted promotion banner "
     "sidebar aside side rail menu nav navbar navigation navigator topnav subnav breadcrumb breadcrumbs crumbs header masthead topbar footer foot colophon copyright legal "
-    "cookie cookies consent notice notices gdpr privacy popup modal overlay alert newsletter subscribe subscription signup login signin paywall "
-    "share sharing social related recommended recommendations popular trending teaser comment comments commentlist respond reply replies disqus discussion reader reviews "
-    "form search searchbox toolbar widget widgets pagination pager tags taglist hidden skip contentinfo complementary search".split()
+    "cookie cookies consent notice notices announcement disclaimer warning gdpr privacy popup modal overlay dialog alert toast infobar newsletter subscribe subscription signup login signin paywall "
+    "share sharing social related recommended recommendations popular trending teaser comment comments commentlist respond response responses reply replies feedback disqus discussion reader reviews "
+    "form search searchbox toolbar widget widgets pagination pager tags taglist hidden skip contentinfo complementary".split()
 )
 MAIN = frozenset("article main".split())
 TEXTUAL = frozenset("p blockquote pre".split())
 TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW}|head)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|(?=<)|\Z)|<[!?/][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|(?=<)|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Words that tell main text, and those after which a class speaks of something else on the page.
+POSITIVE = frozenset("article post entry story main page content body text copy".split())
+BESIDE = frozenset("no has with without".split())
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "boiler_tag", "hinted", "heading", "paragraph")
@@ -123,20 +128,27 @@ def is_main(tree: dict[str, list], x: tuple) -> bool:
     return tree["value"][at] >= 0.5
 
 
-def hinted(attributes: str) -> bool:
+def hint_of(attributes: str) -> int:
+    """-1: boilerplate by class, id, role or hiding; 1: main text; 0: no sign. A class such as main-content
+    outweighs others of the same element."""
+    found = 0
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return -1
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return -1
         elif name in ("class", "id", "role"):
             for word in value.split():
                 pieces = [p.lower() for p in PIECE.findall(word)]
-                if pieces and pieces[0] not in ("no", "has", "with", "without") and (word.lower() in HINTS or not HINTS.isdisjoint(pieces)):
-                    return True
-    return False
+                beside = next((k for k, p in enumerate(pieces) if p in BESIDE), len(pieces))
+                pieces = pieces[:beside]
+                if len(pieces) > 1 and POSITIVE.issuperset(pieces):
+                    found = 1
+                elif found == 0 and (not HINTS.isdisjoint(pieces) or beside == len(pieces) and word.lower() in HINTS):
+                    found = -1
+    return found
 
 
 def blocks(page: str) -> list[list]:
@@ -145,7 +157,7 @@ def blocks(page: str) -> list[list]:
     parts: list[tuple[str, bool]] = []
     # open elements: (name, in_main, boiler, hinted, heading, paragraph) as they hold inside
     stack: list[tuple] = [("", 0, 0, 0, 0, 0)]
-    link = 0
+    link = dropped = 0
 
     def flush() -> None:
         if parts:
@@ -163,22 +175,22 @@ def blocks(page: str) -> list[list]:
 
     at = 0
     for m in TAG.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not dropped:
             parts.append((page[at : m.start()], link > 0))
         at = m.end()
         name = (m[3] or m[6] or "").lower()
         if not name:
-            if m[1] and m[1].lower() != "svg":
-                flush()
             continue
         end = m[2] or m[5]
         if name == "a":
             link = 0 if end else 1
         elif name == "br":
             parts.append((" ", link > 0))
+        elif name in DROPPED:
+            dropped = max(0, dropped + (-1 if end else 1))
         if name in BLOCK or name in BOILER:
             flush()
-            link = 0
+            link = dropped = 0
             if end:
                 close(name)
             elif name not in VOID:
@@ -188,9 +200,12 @@ def blocks(page: str) -> list[list]:
                 if stack[-1][0] == "p" or stack[-1][0] in HEADINGS and name in HEADINGS:
                     stack.pop()
                 top = stack[-1]
-                hint = top[3] or name not in ("html", "body", "article", "main") and hinted(m[4] or m[7] or "")
-                stack.append((name, int(top[1] or name in MAIN), int(top[2] or name in BOILER), int(hint), int(name in HEADINGS), int(top[5] or name in TEXTUAL)))
-    if at < len(page):
+                hint = 0 if name in ("html", "body") else hint_of(m[4] or m[7] or "")
+                # only main is never inside a sidebar; headers inside an article hold its headings
+                bad = 0 if name == "main" else int(top[3] or hint < 0 and name != "article")
+                boiler = 0 if name == "main" else int(top[2] or name in BOILER and not (name == "header" and top[1]))
+                stack.append((name, int(top[1] or name in MAIN or hint > 0), boiler, bad, int(name in HEADINGS), int(top[5] or name in TEXTUAL)))
+    if at < len(page) and not dropped:
         parts.append((page[at:], link > 0))
     flush()
     return out
