@@ -45,7 +45,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: str.split() takes these for white space too, the library doesn't.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Longest chunk whose count is kept; most states and counts kept by one worker.
-KEEP_CHARS, KEEP_STATES, KEEP_COUNTS = 48, 50_000, 500_000
+KEEP_CHARS, KEEP_STATES, KEEP_COUNTS = 48, 200_000, 1_000_000
 
 StateMap = dict[int, tuple[int, int]]
 
