@@ -58,3 +58,34 @@ def test_pipeline_stages(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and "shard" in out.columns
+
+
+ODD = [
+    (1, "same words here " * 20, "en", "a", None, 1, "x"),
+    (1, "same words here " * 20, "en", "a", None, 1, "x"),
+    (None, None, None, None, None, None, None),
+    (None, "", None, "a", 0, 2, "y"),
+    (7, " ".join(f"word{k}" for k in range(60)), "de", None, 5, 3, "z"),
+    (7, " ".join(f"word{k}" for k in range(60)), "de", None, 5, 3, "z"),
+    (8, " ".join(f"term{k}" for k in range(70)), None, "b", 5, 3, "z"),
+]
+
+
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, key string"
+    bench = spark.createDataFrame([(1, " ".join(f"term{k}" for k in range(13))), (2, None)], "item_id bigint, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = spark.createDataFrame(ODD, schema)
+    for name, docs in (("odd", odd), ("empty", odd.limit(0))):
+        left = []
+        for step, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns[: len(odd.columns)] == odd.columns
+            out.write.parquet(f"{tmp_path}/{name}-{step}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{step}")
+            left.append(sorted(r.doc_id for r in docs.collect()))
+        if name == "odd":
+            assert left[:3] == [[7, 7, 8], [7, 8], [7]]
+            assert set(left[3]) <= {7} and left[4] == left[3]
+        else:
+            assert left == [[]] * 5
