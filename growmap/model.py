@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from growmap.functions import vectors
 from growmap.operators import cluster, growth, maps, metrics, update
-from growmap.operators.bmu import Codebook, assign
+from growmap.operators.bmu import Codebook, assign, matrix
 from growmap.operators.preprocess import Normalization, Scaler
 
 
@@ -25,6 +25,9 @@ class GrowingMap:
 
     ``nan_scope``: "batch" chooses the metric for the whole table, "row" for streams always takes the one
     for missing values, which is the plain one on complete rows but for the weights.
+
+    Up to ``local_cells`` values (32 MB) are trained on the driver by the same kernel, as a job for each epoch
+    would take longer than the epoch.
     """
 
     max_neurons: int = 100
@@ -40,6 +43,7 @@ class GrowingMap:
     min_neurons: int = 4
     min_hits: int = 1
     nan_scope: str = "batch"
+    local_cells: int = 4_000_000
     book: Codebook | None = None
     missing: update.Missingness | None = None
     threshold: float | None = None
@@ -82,24 +86,26 @@ class GrowingMap:
     # -- training
 
     def fit(self, df: DataFrame | str) -> GrowingMap:
-        rows = self.rows(df, fitting=True)
-        rows = rows.select(self.features).persist()
+        rows = self.rows(df, fitting=True).select(self.features).filter(F.col(self.features).isNotNull()).persist()
         try:
-            head = rows.filter(F.col(self.features).isNotNull()).select(F.size(self.features)).first()
-            if head is None:
+            missing = F.exists(self.features, lambda v: v.isNull())
+            n, dim, nan = rows.agg(F.count("*"), F.max(F.size(self.features)), F.coalesce(F.max(missing), F.lit(False))).first()
+            if not n:
                 raise ValueError("no rows to fit")
-            dim = head[0]
-            nan = vectors.has_nan(rows, self.features)
             self.missing = update.missingness(rows, dim, self.features) if nan else None
             self.threshold = update.growth_threshold(rows, dim, self.spread, self.error_factor, self.features)
             self.book, self.history = self._initial(dim), []
+            if n * dim <= self.local_cells:
+                rows.unpersist()
+                rows = matrix(rows.select(self.features).toArrow().column(0).combine_chunks(), dim)
             coarse = self.n_iter // 2
             self._coarse(rows, coarse, nan)
             self._fine(rows, self.n_iter - coarse, nan)
             update.accumulate_errors(rows, self.book, self.book, self.features, self.missing, nan)
             self.book = growth.prune(self.book, self.min_hits, self.min_neurons)
         finally:
-            rows.unpersist()
+            if isinstance(rows, DataFrame):
+                rows.unpersist()
         return self
 
     def _initial(self, dim: int) -> Codebook:
@@ -113,7 +119,7 @@ class GrowingMap:
     def _extent(self) -> int:
         return int((self.book.xy.max(0) - self.book.xy.min(0)).max()) + 1
 
-    def _coarse(self, rows: DataFrame, epochs: int, nan: bool) -> None:
+    def _coarse(self, rows: DataFrame | np.ndarray, epochs: int, nan: bool) -> None:
         first, last = vectors.sigma_range(self._extent())
         noise = np.random.default_rng(self.seed + 1)
         for e in range(1, epochs + 1):
@@ -125,7 +131,7 @@ class GrowingMap:
             self.book = growth.grow(self.book, self.threshold, self.max_neurons, noise)
             self.history.append(("coarse", e, sigma, len(self.book)))
 
-    def _fine(self, rows: DataFrame, epochs: int, nan: bool) -> None:
+    def _fine(self, rows: DataFrame | np.ndarray, epochs: int, nan: bool) -> None:
         first = 0.3 * vectors.sigma_start(self._extent())
         for e in range(1, epochs + 1):
             sigma = vectors.decay_sigma(e, epochs, first, 0.5)

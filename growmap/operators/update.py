@@ -50,21 +50,43 @@ def growth_threshold(rows: DataFrame | None, dim: int, spread: float | None = No
     return error * float(np.sqrt(sum(s)))
 
 
-def bmu_sums(rows: DataFrame, book: Codebook, features: str = "features", dim_weights: np.ndarray | None = None, nan: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def block_sums(x: np.ndarray, weights: np.ndarray, dim_weights: np.ndarray | None, nan: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts (m, d) of the valid values of a block of rows, by best-matching neuron."""
+    m, d = weights.shape
+    at, valid = nearest(x, weights, dim_weights, nan)[0][:, 0], ~np.isnan(x)
+    sums = np.stack([np.bincount(at, np.where(valid[:, k], x[:, k], 0.0), m) for k in range(d)], 1)
+    counts = np.stack([np.bincount(at, valid[:, k], m) for k in range(d)], 1)
+    return sums, counts
+
+
+def block_errors(x: np.ndarray, old: np.ndarray, new: np.ndarray, dim_weights: np.ndarray | None, nan: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Summed distances from the new weights, and hits (m), of a block of rows matched by the old ones."""
+    m, d = old.shape
+    best = nearest(x, old, dim_weights, nan)[0][:, 0]
+    valid = ~np.isnan(x)
+    diff = np.where(valid, (x - new[best]) ** 2, 0.0)
+    w = np.ones(d) if dim_weights is None else dim_weights
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = diff @ w * (w.sum() / (valid * w).sum(1))
+    dist = np.sqrt(np.where(valid.all(1), diff.sum(1), part))
+    fine = np.isfinite(dist)
+    return np.bincount(best[fine], dist[fine], m), np.bincount(best[fine], minlength=m)
+
+
+def bmu_sums(rows: DataFrame | np.ndarray, book: Codebook, features: str = "features", dim_weights: np.ndarray | None = None, nan: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """One scan: sums and counts (m, d) of valid values by best-matching neuron."""
-    m, d = book.weights.shape
     w = book.weights
+    if isinstance(rows, np.ndarray):
+        return block_sums(rows, w, dim_weights, nan)
+    m, d = w.shape
     rows = rows.select(vectors.clean(F.col(features)).alias("f"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts = np.zeros((m, d)), np.zeros((m, d))
         for b in batches:
-            x = matrix(b.column(0), d)
-            at = nearest(x, w, dim_weights, nan)[0][:, 0]
-            valid = ~np.isnan(x)
-            for k in range(d):
-                sums[:, k] += np.bincount(at, np.where(valid[:, k], x[:, k], 0.0), m)
-                counts[:, k] += np.bincount(at, valid[:, k], m)
+            s, c = block_sums(matrix(b.column(0), d), w, dim_weights, nan)
+            sums += s
+            counts += c
         i, k = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(sums[i, k]), pa.array(counts[i, k])], ["i", "k", "s", "n"])
 
@@ -112,7 +134,7 @@ def impute(book: Codebook, at: int, counts: np.ndarray, min_obs: float = 5.0, ma
         book.weights[at, poor] = (w @ book.weights[near][:, poor]) / w.sum()
 
 
-def update(rows: DataFrame, book: Codebook, sigma: float, features: str = "features", missing: Missingness | None = None, nan: bool = False) -> np.ndarray:
+def update(rows: DataFrame | np.ndarray, book: Codebook, sigma: float, features: str = "features", missing: Missingness | None = None, nan: bool = False) -> np.ndarray:
     """One epoch. With ``missing``, dimensions seen less than max(1, a tenth of the neuron's most) are
     imputed afterwards, neuron by neuron in order of their ids."""
     weights = missing.weights if missing else None
@@ -124,30 +146,23 @@ def update(rows: DataFrame, book: Codebook, sigma: float, features: str = "featu
     return den
 
 
-def accumulate_errors(rows: DataFrame, at: Codebook, now: Codebook, features: str = "features", missing: Missingness | None = None, nan: bool = False) -> None:
+def accumulate_errors(rows: DataFrame | np.ndarray, at: Codebook, now: Codebook, features: str = "features", missing: Missingness | None = None, nan: bool = False) -> None:
     """Errors and hits of ``now``, from zero: each row adds its distance from the new weights to the neuron
     that matched it best in ``at``. The metric of a row depends on whether that row has missing values;
     rows at infinite distance count neither way."""
-    m, d = at.weights.shape
     old, new, v = at.weights, now.weights, missing.weights if missing else None
+    if isinstance(rows, np.ndarray):
+        now.errors, now.hits = block_errors(rows, old, new, v, nan)
+        return
+    m, d = old.shape
     rows = rows.select(vectors.clean(F.col(features)).alias("f"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         errors, hits = np.zeros(m), np.zeros(m)
         for b in batches:
-            x = matrix(b.column(0), d)
-            best = nearest(x, old, v, nan)[0][:, 0]
-            diff = (x - new[best]) ** 2
-            valid = ~np.isnan(x)
-            whole = valid.all(1)
-            w = np.ones(d) if v is None else v
-            used = (valid * w).sum(1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                part = np.where(valid, diff, 0.0) @ w * (w.sum() / used)
-            dist = np.sqrt(np.where(whole, np.where(valid, diff, 0.0).sum(1), part))
-            fine = np.isfinite(dist)
-            errors += np.bincount(best[fine], dist[fine], m)
-            hits += np.bincount(best[fine], minlength=m)
+            e, n = block_errors(matrix(b.column(0), d), old, new, v, nan)
+            errors += e
+            hits += n
         i = np.flatnonzero(hits)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(errors[i]), pa.array(hits[i])], ["i", "e", "n"])
 

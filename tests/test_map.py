@@ -150,6 +150,8 @@ def test_fit_and_score(spark, blobs):
     assert 4 <= model.n_neurons <= 20 and np.isfinite(model.book.weights).all() and model.missing is None
     again = GrowingMap(max_neurons=20, n_iter=12, error_factor=0.5, seed=1).fit(df)
     assert np.allclose(again.book.weights, model.book.weights)
+    spread = GrowingMap(max_neurons=20, n_iter=12, error_factor=0.5, seed=1, local_cells=0).fit(df)
+    assert spread.positions == model.positions and np.allclose(spread.book.weights, model.book.weights)
     qe, te = model.quality(df)
     assert qe < 1.5 and 0 <= te <= 1
     assert model.hit_counts(df).agg(F.sum("hits")).first()[0] == 180
@@ -168,6 +170,8 @@ def test_fit_with_missing_values(spark, blobs):
     df = rows(spark, x)
     model = GrowingMap(max_neurons=12, n_iter=8, seed=2).fit(df)
     assert np.isfinite(model.book.weights).all() and model.missing.rates.max() < 0.2
+    spread = GrowingMap(max_neurons=12, n_iter=8, seed=2, local_cells=0).fit(df)
+    assert spread.positions == model.positions and np.allclose(spread.book.weights, model.book.weights)
     both = model.predict(df)
     assert both.count() == len(x) and both.filter("distance is null").count() == 0
 
