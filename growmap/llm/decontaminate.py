@@ -95,7 +95,10 @@ def phrase_starts(index: DataFrame, asked: DataFrame, items: DataFrame) -> DataF
     met = join_small(index, lists, ["term"], lists.count(), salt=F.col("key"))
     diag = met.groupBy("key", "item", (F.col("pos") - F.col("q")).alias("diag")).agg(F.collect_set("q").alias("qs"))
     need = asked.groupBy("item", "w").agg(F.collect_set("q").alias("qs")).groupBy("item").agg(F.collect_list(F.struct("w", "qs")).alias("need"))
-    both = diag.join(items.join(need, "item"), "item")
+    needed = items.join(need, "item")
+    # a common passage makes a hot item; words stand for the table's size, as a window over each is listed too
+    n_words = items.agg(F.sum(F.size("words"))).first()[0] or 0
+    both = join_small(diag, needed, ["item"], n_words, salt=F.col("key"))
     ws = F.transform(F.filter("need", lambda n: F.size(F.array_except(n["qs"], "qs")) == 0), lambda n: n["w"])
     return both.select("key", "id", "words", "diag", ws.alias("ws")).filter(F.size("ws") > 0)
 
