@@ -8,7 +8,9 @@ change in the number of tokens. States and transitions are made when first met,
 
 Chunks of input are maps from state to (state, count). They compose associatively, so ``scan`` can run
 over them in parallel. White space brings every state back to the start, so the map of a chunk between
-white space is a single count, which is kept too: texts of any length are sums of such counts.
+white space is a single count, which is kept too. Long texts are cut into blocks anywhere: the map of a
+block is the count between its first and last white space, with the cut words at its ends, which are all
+of the entry and exit states that matters. These compose by the same scan.
 
 Defined cases: null and empty texts have 0 tokens; strings of special tokens in a text count as one
 token, the library's default.
@@ -19,7 +21,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -46,6 +49,8 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Longest chunk whose count is kept; most states and counts kept by one worker.
 KEEP_CHARS, KEEP_STATES, KEEP_COUNTS = 48, 200_000, 1_000_000
+#: Characters of a block of a long text.
+BLOCK_CHARS = 1 << 16
 
 StateMap = dict[int, tuple[int, int]]
 
@@ -151,7 +156,7 @@ def compose(first: StateMap, second: StateMap) -> StateMap:
     return {k: (second[at][0], n + second[at][1]) for k, (at, n) in first.items()}
 
 
-def scan(maps: list[StateMap]) -> list[StateMap]:
+def scan(maps: list, compose: Callable = compose) -> list:
     """Inclusive prefix compositions; in each round all compositions are independent of each other."""
     maps, d = list(maps), 1
     while d < len(maps):
@@ -160,6 +165,23 @@ def scan(maps: list[StateMap]) -> list[StateMap]:
     return maps
 
 
+def total(maps: list, compose: Callable):
+    """The last of ``scan``, by its reduction tree alone."""
+    while len(maps) > 1:
+        maps = [compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+    return maps[0]
+
+
+@dataclass(frozen=True)
+class Block:
+    """The map of a block of text: the words at its ends, which may go on beyond it, and the tokens between.
+    tail is None where the block has no white space, so that head is all of it."""
+
+    head: str
+    n: int = 0
+    tail: str | None = None
+
+
 class Words(dict):
     """Word -> number of tokens."""
 
@@ -205,7 +227,28 @@ class Counter(dict):
             chunk = "".join(LOWER.get(c) or c.lower() for c in unicodedata.normalize("NFC", chunk))
         return sum(map(self.by_word.__getitem__, self.words.findall(chunk)))
 
-    def count(self, text: str | None) -> int:
+    def split(self, text: str) -> list[str]:
+        return text.split() if not NOT_SPACE.search(text) else [c for c in self.space.split(text) if c]
+
+    def block(self, text: str) -> Block:
+        chunks = self.split(text)
+        head, tail = text[0] not in SPACE, text[-1] not in SPACE
+        if len(chunks) == 1 and head and tail:
+            return Block(text)
+        inner = chunks[int(head) : len(chunks) - int(tail)]
+        return Block(chunks[0] if head else "", sum(map(self.__getitem__, inner)), chunks[-1] if tail else "")
+
+    def join(self, a: Block, b: Block) -> Block:
+        if a.tail is None:
+            return Block(a.head + b.head, b.n, b.tail)
+        if b.tail is None:
+            return Block(a.head, a.n, a.tail + b.head)
+        return Block(a.head, a.n + b.n + self.word(a.tail + b.head), b.tail)
+
+    def word(self, chunk: str | None) -> int:
+        return self[chunk] if chunk else 0
+
+    def count(self, text: str | None, block: int = BLOCK_CHARS) -> int:
         if not text:
             return 0
         if len(self) > KEEP_COUNTS:
@@ -214,8 +257,10 @@ class Counter(dict):
             self.by_word.clear()
         if len(self.machine.states) > KEEP_STATES:
             self.machine.reset()
-        chunks = text.split() if not NOT_SPACE.search(text) else [c for c in self.space.split(text) if c]
-        return sum(map(self.__getitem__, chunks))
+        if len(text) <= block:
+            return sum(map(self.__getitem__, self.split(text)))
+        whole = total([self.block(text[k : k + block]) for k in range(0, len(text), block)], self.join)
+        return self.word(whole.head) + whole.n + self.word(whole.tail)
 
 
 @lru_cache(maxsize=2)

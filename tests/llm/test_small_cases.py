@@ -195,7 +195,11 @@ def library():
 @given(st.text(max_size=60) | st.text(alphabet="aAbetioné'sIıİ́ẛ̣Σ09² .,!\x1c\x85 <|endoftext>漢😀", max_size=40))
 def test_tokens_as_the_library_counts(library, text):
     c = tokens.counter(tokens.tokenizer_path())
-    assert c.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    n = len(library.encode(text, add_special_tokens=False).ids)
+    assert c.count(text) == n and all(c.count(text, block) == n for block in (1, 3, 7))
+    blocks = [c.block(text[k : k + 4]) for k in range(0, len(text), 4)]
+    if blocks:
+        assert tokens.scan(blocks, c.join)[-1] == tokens.total(blocks, c.join)
 
 
 def test_tokens_small_cases(spark, tables, library):
