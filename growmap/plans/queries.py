@@ -516,3 +516,49 @@ def umatrix_clusters(spark, sf):
 
 def elbow(spark, sf):
     return cluster.elbow(rows_of(spark, sf), range(2, 5))
+
+
+# -- more of the above
+
+
+def pairwise_distances(spark, sf):
+    n = neurons_of(spark, sf).select(F.col("neuron_id").alias("row_id"), F.col("weights").alias("features"))
+    got = assign_sql(n, neurons_of(spark, sf), k=SIDE * SIDE)
+    return got.select("row_id", "neuron_id", r6("distance").alias("distance"))
+
+
+def has_missing(spark, sf):
+    return spark.createDataFrame([("plain", vectors.has_nan(rows_of(spark, sf))), ("holed", vectors.has_nan(rows_of(spark, sf, True)))], "name string, missing boolean")
+
+
+def dead_neurons(spark, sf):
+    h = maps.hit_counts(neurons_of(spark, sf), scored(spark, sf))
+    book = Codebook.collect(neurons_of(spark, sf))
+    got = dict(h.select("neuron_id", "hits").collect())
+    book.hits = np.array([got[int(i)] for i in book.ids])
+    return spark.createDataFrame([(int(book.ids[k]), int(book.hits[k])) for k in growth.dead(book, 30)], "neuron_id int, hits bigint")
+
+
+def unique_entities(spark, sf):
+    return panel.unique_entities(panel.sliding_windows(_panel(spark, sf), 3, 2)).withColumnRenamed("entity", "user_id")
+
+
+def count_distinct(spark, sf):
+    return table(spark, sf, "orders").agg(F.count_distinct("o_custkey").alias("n_customers"), F.count_distinct(F.year("o_orderdate")).alias("n_years"))
+
+
+def transform_features(spark, sf):
+    out = rescale.transform_features(_part(spark, sf), log=("p_retailprice", "absent"), signed=("offset_size",), minmax=("p_size",))
+    return out.select("p_partkey", *[r6(c).alias(c) for c in ("p_retailprice", "offset_size", "p_size")])
+
+
+def mean_positions(spark, sf):
+    """Mean position of all users by day."""
+    t = _trajectories(spark, sf)
+    return t.groupBy("end_time").agg(F.count("*").alias("n"), r6(F.avg("x")).alias("mean_x"), r6(F.avg("y")).alias("mean_y"))
+
+
+def decade_clusters(spark, sf):
+    t = _trajectories(spark, sf).withColumn("year", F.col("end_time") + 1990)
+    book = Codebook.of([(k % 3, k // 3) for k in range(9)], [[60.0 * k, 0.5 * k, 40.0 * k, 0.7 * k] for k in range(9)])
+    return panel.decade_clusters(t, book, "year", [1990, 2000, 2010], 2, 4)

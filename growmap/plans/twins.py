@@ -163,4 +163,11 @@ SQL: dict[str, str] = {
     "class_stats": sql("b", ", t AS (SELECT neuron_id, label, count(*) AS n FROM b GROUP BY ALL), k AS (SELECT *, count(*) OVER (PARTITION BY neuron_id) AS k FROM t) SELECT label, sum(n)::BIGINT AS n_rows, count(*)::BIGINT AS n_neurons, (count(*) FILTER (k = 1))::BIGINT AS n_pure FROM k GROUP BY 1"),
     "silhouette": sql("n", ", d AS (SELECT a.neuron_id AS i, a.x AS c, b.x AS oc, avg(CASE WHEN a.neuron_id <> b.neuron_id THEN sqrt(list_sum(list_transform(list_zip(a.w, b.w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) END) AS m FROM n a, n b GROUP BY ALL), s AS (SELECT i, max(m) FILTER (c = oc) AS a, min(m) FILTER (c <> oc) AS b FROM d GROUP BY 1) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM s"),
     "davies_bouldin": sql("r", ", l AS (SELECT row_id, label, unnest(f) AS v, unnest(range(1, len(f) + 1)) AS dim FROM r), c AS (SELECT label, dim, avg(v) AS m FROM l GROUP BY ALL), s AS (SELECT label, avg(d) AS s FROM (SELECT l.label, row_id, sqrt(sum((v - m) ** 2)) AS d FROM l JOIN c ON c.label = l.label AND c.dim = l.dim GROUP BY ALL) GROUP BY 1), p AS (SELECT a.label AS i, b.label AS j, sqrt(sum((a.m - b.m) ** 2)) AS d FROM c a JOIN c b ON a.dim = b.dim AND a.label <> b.label GROUP BY ALL) SELECT round(avg(w), 6) AS davies_bouldin FROM (SELECT i, max((x.s + y.s) / d) AS w FROM p JOIN s x ON x.label = i JOIN s y ON y.label = j GROUP BY 1)"),
+    "pairwise_distances": sql("n", "SELECT a.neuron_id AS row_id, b.neuron_id, round(sqrt(list_sum(list_transform(list_zip(a.w, b.w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS distance FROM n a, n b"),
+    "has_missing": sql("r rn", "SELECT 'plain' AS name, bool_or(len(list_filter(f, lambda v: v IS NULL)) > 0) AS missing FROM r UNION ALL SELECT 'holed', bool_or(len(list_filter(f, lambda v: v IS NULL)) > 0) FROM rn"),
+    "dead_neurons": sql("hits", "SELECT neuron_id, hits FROM hits WHERE hits < 30"),
+    "unique_entities": sql("daily", "SELECT user_id FROM daily GROUP BY 1 HAVING count(*) >= 3"),
+    "count_distinct": "SELECT count(DISTINCT o_custkey)::BIGINT AS n_customers, count(DISTINCT year(o_orderdate))::BIGINT AS n_years FROM orders",
+    "transform_features": "WITH s AS (SELECT p_partkey, ln(p_retailprice) AS a, sign(p_size - 25) * ln(1 + abs(p_size - 25)::DOUBLE) AS b, p_size::DOUBLE AS c FROM part), m AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, min(c) AS c0, max(c) AS c1 FROM s) SELECT p_partkey, round((a - a0) / (a1 - a0) * 100, 6) AS p_retailprice, round((b - b0) / (b1 - b0) * 100, 6) AS offset_size, round((c - c0) / (c1 - c0) * 100, 6) AS p_size FROM s, m",
+    "mean_positions": sql("tr", "SELECT end_time, count(*)::BIGINT AS n, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y FROM tr GROUP BY 1"),
 }

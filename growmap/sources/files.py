@@ -69,3 +69,14 @@ def save_all(neurons: DataFrame, scored: DataFrame, path: str, clusters: DataFra
         if label:
             both = scored.join(F.broadcast(clusters.select("neuron_id", "cluster")), "neuron_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(0)))
             _write(metrics.distribution(metrics.contingency(both, "cluster", label)), f"{path}/distribution", fmt)
+
+
+def save_panel(path: str, neurons: DataFrame, snapshots: DataFrame, summary: DataFrame, labels: DataFrame, names: DataFrame | None = None, features: list[str] | None = None, fmt: str = "csv") -> None:
+    """Exports of a panel analysis: snapshots by time, trajectories by entity, summary, weights, clusters, names."""
+    plain = snapshots.drop("features")
+    _write(plain, f"{path}/snapshots", fmt, "time_index")
+    save_trajectories(plain, f"{path}/trajectories", fmt=fmt)
+    for name, df in (("summary", summary), ("clusters", labels), ("names", names)):
+        if df is not None:
+            _write(df, f"{path}/{name}", fmt)
+    save_weights(neurons, f"{path}/weights", features, fmt)

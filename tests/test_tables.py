@@ -129,6 +129,8 @@ def test_sinks(spark, tmp_path):
     c = n.select("neuron_id", "x", "y", F.lit(1).alias("cluster"))
     files.save_all(n, s, str(tmp_path / "all"), c, "label")
     files.save_trajectories(s, str(tmp_path / "t"))
+    files.save_panel(str(tmp_path / "p"), n, s, s.select("entity", "label"), c)
+    assert spark.read.csv(str(tmp_path / "p/snapshots"), header=True).columns[-1] == "time_index"
     assert spark.read.csv(str(tmp_path / "all/weights"), header=True).columns == ["neuron_id", "x", "y", "f1", "f2"]
     assert spark.read.csv(str(tmp_path / "t"), header=True).count() == 1
 
