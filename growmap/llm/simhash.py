@@ -68,6 +68,8 @@ def star_links(fps: DataFrame) -> DataFrame:
     Fingerprints compare as signed longs here, which only has to be one order everywhere."""
     flip = F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("k")
     bit = F.when(F.col("k") < 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k")))
+    # distinct fingerprints are few bytes, which would be read by few tasks, and grow 65 times here
+    fps = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     ball = fps.select("fp", flip).select(F.col("fp").bitwiseXOR(bit).alias("word"), bit.alias("mask"), (F.col("k") < 0).cast("int").alias("own"))
     met = ball.groupBy("word").agg(F.bit_or("mask").alias("mask"), F.max("own").alias("own"))
     met = met.filter(F.bit_count("mask") + F.col("own") > 1)
@@ -129,9 +131,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.xxhash64(text_col)
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("key"))
     rows = written(grouped(written(fingerprints(few, "text", ("id", "key"), size), "simhash")), "groups")
-    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("s")).select(F.col("root").alias("__root"), "s.id", "s.key")
-    stays = stays.select("__root", F.col("id").alias("__sid"), F.col("key").alias("__skey"))
-    drop = rows.join(stays, rows["root"] == stays["__root"]).filter(~(F.col("id").eqNullSafe(F.col("__sid")) & F.col("key").eqNullSafe(F.col("__skey"))))
+    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("s")).select(F.col("s.id").alias("__sid"), F.col("s.key").alias("__skey"))
+    # id and text decide the root, so rows that stay are told by those, and a large group isn't met by its root
+    drop = rows.join(stays, rows["id"].eqNullSafe(stays["__sid"]) & (rows["key"] == stays["__skey"]), "left_anti")
     drop = written(drop.select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct(), "copies")
     twice = rows.groupBy("id", "key").count().filter("count > 1").select(F.col("id").alias("__id"), F.col("key").alias("__key"))
     twice = written(twice.join(drop, twice["__id"].eqNullSafe(drop["__id"]) & (twice["__key"] == drop["__key"]), "left_anti"), "repeated")
