@@ -89,6 +89,15 @@ def test_mixing_is_near_its_targets(spark):
     assert sorted(rows.collect()) == sorted(mixing.mix(df, keep=["doc_id", "source"]).collect())
 
 
+def test_mixing_thresholds_nest(spark):
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"), (F.col("id") % 3).cast("string").alias("source"))
+    last = {}
+    for share in (0.3, 0.8, 1.5):
+        now = {r.doc_id: r.copies for r in mixing.mix(df, share=share, keep=["doc_id"]).collect()}
+        assert all(now[k] >= n for k, n in last.items())
+        last = now
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text(alphabet="<|\\>\nim_endstar😀", max_size=12), min_size=1, max_size=4))
 def test_chat_round_trip(spark, texts):
