@@ -161,9 +161,10 @@ def blocks(page: str) -> list[list]:
 
     def flush() -> None:
         if parts:
-            text = html.unescape("".join(p for p, _ in parts))
-            if words := text.split():
-                linked = sum(len(html.unescape(p).split()) for p, a in parts if a)
+            # a reference doesn't run on over a tag
+            texts = [html.unescape(p) for p, _ in parts]
+            if words := "".join(texts).split():
+                linked = sum(len(t.split()) for t, (_, a) in zip(texts, parts) if a)
                 out.append([" ".join(words), len(words), min(linked, len(words)), *stack[-1][1:]])
             parts.clear()
 

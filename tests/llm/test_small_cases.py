@@ -391,6 +391,7 @@ def test_html_small_cases(spark, tables):
     assert got[6].text == "" and got[6].n_chars == 0 and got[4].text in ("", "same")
     page = "<html><head><title>t</title></head><body><nav><a href=/>home</a></nav><article><h1>A &amp; B&nbsp;c</h1><p>one<br>two\n three<p>four <b>fi</b>ve<script>x('</p>')</script><!-- c --><aside>more to read</aside><div class='ad-box'>buy this</div></article><section id=comments><p>nice text, thanks a lot to you</p></section><footer>&copy; x</footer><form>go<input></form></body>"
     assert html.main_text(page) == "A & B c\n\none two three\n\nfour five"
+    assert html.main_text("<article><p>x &am<b>p;</b> y") == "x &amp; y"
     for broken in ("", None, "<", "<p", "a < b", "<p title='x>y", "<!-- never ends", "<script>never ends", "&am &#x; &#99999999999;", "</p></div>"):
         assert isinstance(html.main_text(broken), str)
     assert len(html.main_text("<article>" + "<p>w " * 20_000)) > 50_000
