@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growmap.llm.common import BROADCAST_ROWS, bytes_of, cut, table, written
+from growmap.llm.common import BROADCAST_ROWS, bytes_of, cut, join_small, table, written
 
 SHINGLE, SEED = 3, 42
 #: Shingles whose bits are counted at once.
@@ -69,7 +69,8 @@ def star_links(fps: DataFrame) -> DataFrame:
     flip = F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("k")
     bit = F.when(F.col("k") < 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k")))
     # distinct fingerprints are few bytes, which would be read by few tasks, and grow 65 times here
-    fps = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = fps.select("fp").repartition(parts, F.xxhash64("fp"))
     ball = fps.select("fp", flip).select(F.col("fp").bitwiseXOR(bit).alias("word"), bit.alias("mask"), (F.col("k") < 0).cast("int").alias("own"))
     met = ball.groupBy("word").agg(F.bit_or("mask").alias("mask"), F.max("own").alias("own"))
     met = met.filter(F.bit_count("mask") + F.col("own") > 1)
@@ -111,9 +112,12 @@ def grouped(rows: DataFrame) -> DataFrame:
     """rows (id, fp, ...) + component: the least id reachable over links within 2 bits."""
     fps = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(star_links(fps.select("fp")))
-    known = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = known.groupBy("root").agg(F.min("least").alias("component"))
-    named = known.join(least, "root").select(F.col("fp").alias("__fp"), "component", "root")
+    linked = fps.join(roots, fps["fp"] == roots["node"]).select("fp", "least", "root")
+    linked = cut(linked.unionByName(fps.join(roots.select(F.col("root").alias("r")).distinct(), F.col("fp") == F.col("r"), "left_semi").withColumn("root", F.col("fp"))))
+    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    found = join_small(linked, least, ["root"], least.count(), salt=F.col("fp")).select("fp", "component", "root")
+    alone = fps.join(linked.select(F.col("fp").alias("f")), F.col("fp") == F.col("f"), "left_anti").select("fp", F.col("least").alias("component"), F.col("fp").alias("root"))
+    named = found.unionByName(alone).withColumnRenamed("fp", "__fp")
     return rows.join(named, rows["fp"] == named["__fp"]).drop("__fp")
 
 
