@@ -414,3 +414,26 @@ def test_registry_names_all_ten():
 
     assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{k}" for k in range(1, 11)] and set(registry.SQL) <= set(registry.QUERIES)
     json.dumps(registry.SQL)
+
+
+@pytest.mark.parametrize("name", ["mixing", "decontaminate", "warc", "outliers", "simhash"])
+def test_nothing_changes_where_nothing_may_be_sent_out(spark, name, monkeypatch):
+    """The ways beyond the checked sizes, salted and shuffled, give the same rows."""
+    sf = "/root/testdata/sf0.001"
+    want = sorted(OPS[name](spark, sf).collect(), key=repr)
+    for module in ("common", "decontaminate", "outliers", "simhash"):
+        monkeypatch.setattr(f"growmap.llm.{module}.BROADCAST_ROWS", -1)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    assert sorted(OPS[name](spark, sf).collect(), key=repr) == want
+
+
+def test_stages_where_nothing_may_be_sent_out(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    bench = table(spark, "/root/testdata/sf0.001", "benchmark")
+    stages = (outliers.clean_documents, simhash.one_of_each, lambda d: decontaminate.clean_documents(d, bench))
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    want = [ids(f(docs)) for f in stages]
+    for module in ("common", "decontaminate", "outliers", "simhash"):
+        monkeypatch.setattr(f"growmap.llm.{module}.BROADCAST_ROWS", -1)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    assert [ids(f(docs)) for f in stages] == want
