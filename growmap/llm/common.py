@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join with short rows is sent to every executor.
 BROADCAST_ROWS = 200_000
+#: Folders of this process's tables, for ``discard``.
+WRITTEN: list[str] = []
 #: Parts into which the large side of a salted join splits each key.
 SALTS = 32
 
@@ -39,9 +41,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Removes the tables that ``written`` made; their number. Results that still read them must be saved
+    first."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], small_rows: int, how: str = "inner", salt: Column | None = None) -> DataFrame:
     """Join on keys where null equals null. ``small`` is broadcast only up to BROADCAST_ROWS rows,
     counted by the caller; beyond that both sides shuffle, each key of ``big`` spread over SALTS parts

@@ -437,3 +437,13 @@ def test_stages_where_nothing_may_be_sent_out(spark, monkeypatch):
         monkeypatch.setattr(f"growmap.llm.{module}.BROADCAST_ROWS", -1)
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     assert [ids(f(docs)) for f in stages] == want
+
+
+def test_discard_removes_what_was_written(spark):
+    import os
+
+    from growmap.llm import common
+
+    common.written(spark.range(3), "some")
+    path = common.WRITTEN[-1].removeprefix("file:")
+    assert os.path.exists(path) and common.discard(spark) > 0 and not os.path.exists(path) and not common.WRITTEN
