@@ -30,8 +30,9 @@ def clean(features: Column) -> Column:
 
 
 def has_nan(df: DataFrame, features: str = "features") -> bool:
-    """Whether any value of the whole table is missing."""
-    return bool(df.agg(F.max(F.exists(F.col(features), lambda v: v.isNull() | F.isnan(v)))).first()[0])
+    """Whether any value of the whole table is missing; NULL features are."""
+    missing = F.exists(F.col(features), lambda v: v.isNull() | F.isnan(v))
+    return bool(df.agg(F.max(F.coalesce(missing, F.lit(True)))).first()[0])
 
 
 def _total(values: Column) -> Column:

@@ -92,28 +92,33 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(-1, dim)
 
 
-def assign(rows: DataFrame, book: Codebook, features: str = "features", dim_weights: np.ndarray | None = None, nan: bool | None = None, two: bool = False) -> DataFrame:
-    """rows + neuron_id, x, y, distance (two: also neuron_id2, distance2).
+def assign(rows: DataFrame, book: Codebook, features: str = "features", dim_weights: np.ndarray | None = None, nan: bool | None = None, two: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """rows + neuron_id, x, y, distance (two: also neuron_id2, distance2). ``keep``: the columns of rows that
+    are wanted, by default all; the others don't travel back. NULL features are those of a row without
+    valid values.
 
     ``nan``: whether to use the metric for missing values; by default one scan finds out, as the metric is
     chosen for the whole table, not for each row."""
     nan = vectors.has_nan(rows, features) if nan is None else nan
-    keep = [c for c in rows.columns if c not in ("neuron_id", "x", "y", "distance", "neuron_id2", "distance2")]
-    rows = rows.select(*[vectors.clean(F.col(c)).alias(c) if c == features else F.col(c) for c in keep])
+    keep = [c for c in (rows.columns if keep is None else keep) if c not in ("neuron_id", "x", "y", "distance", "neuron_id2", "distance2")]
+    none = F.array_repeat(F.lit(None).cast("double"), book.weights.shape[1])
+    vec = F.coalesce(F.col(features).cast("array<double>"), none)
+    rows = rows.select(*[vec.alias(c) if c == features else F.col(c) for c in keep], *([] if features in keep else [vec.alias("__vec")]))
+    at_vec = keep.index(features) if features in keep else len(keep)
     ids, xy, w = book.ids, book.xy, book.weights
     two = two and len(book) > 1
     extra = ", neuron_id2 int, distance2 double" if two else ""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", neuron_id int, x int, y int, distance double" + extra
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]), "neuron_id int, x int, y int, distance double"]) + extra
     names = [*keep, "neuron_id", "x", "y", "distance"] + (["neuron_id2", "distance2"] if two else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, d2 = nearest(matrix(b.column(keep.index(features)), w.shape[1]), w, dim_weights, nan, 2 if two else 1)
+            at, d2 = nearest(matrix(b.column(at_vec), w.shape[1]), w, dim_weights, nan, 2 if two else 1)
             first = at[:, 0]
             made = [pa.array(ids[first].astype(np.int32)), pa.array(xy[first, 0].astype(np.int32)), pa.array(xy[first, 1].astype(np.int32)), pa.array(np.sqrt(d2[:, 0]))]
             if two:
                 made += [pa.array(ids[at[:, 1]].astype(np.int32)), pa.array(np.sqrt(d2[:, 1]))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names)
 
     return rows.mapInArrow(run, schema)
 

@@ -79,7 +79,7 @@ def bmu_sums(rows: DataFrame | np.ndarray, book: Codebook, features: str = "feat
     if isinstance(rows, np.ndarray):
         return block_sums(rows, w, dim_weights, nan)
     m, d = w.shape
-    rows = rows.select(vectors.clean(F.col(features)).alias("f"))
+    rows = rows.select(F.col(features).cast("array<double>").alias("f")).filter("f IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts = np.zeros((m, d)), np.zeros((m, d))
@@ -155,7 +155,7 @@ def accumulate_errors(rows: DataFrame | np.ndarray, at: Codebook, now: Codebook,
         now.errors, now.hits = block_errors(rows, old, new, v, nan)
         return
     m, d = old.shape
-    rows = rows.select(vectors.clean(F.col(features)).alias("f"))
+    rows = rows.select(F.col(features).cast("array<double>").alias("f")).filter("f IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         errors, hits = np.zeros(m), np.zeros(m)

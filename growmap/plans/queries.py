@@ -69,7 +69,7 @@ def bmu_lineitem(spark, sf):
     """Nearest of eight prototypes made by a rule, for the large table."""
     rows = vectors.vectorise(table(spark, sf, "lineitem").select(*LINE), LINE).select("features")
     book = Codebook.of([(k % 4, k // 4) for k in range(8)], [[6.0 * k + 1, 11000.0 * k + 500, 0.0125 * k, 0.01 * k] for k in range(8)])
-    got = assign(rows, book, nan=False)
+    got = assign(rows, book, nan=False, keep=[])
     return got.groupBy("neuron_id", "x", "y").agg(F.count("*").alias("hits"), F.round(F.avg("distance"), 4).alias("mean_distance"))
 
 

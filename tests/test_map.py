@@ -72,6 +72,16 @@ def test_kernel_and_builtin_functions_agree(spark):
             assert one[k][0] == two[k][0] and one[k][1] == pytest.approx(two[k][1])
 
 
+def test_null_features_and_kept_columns(spark):
+    df = spark.createDataFrame([(1, [2.0]), (2, None), (3, [None]), (4, [NAN])], "row_id int, features array<double>")
+    b = book({(0, 0): [0], (1, 0): [2]})
+    got = {r.row_id: (r.neuron_id, r.distance) for r in assign(df, b, keep=["row_id"]).collect()}
+    assert got == {1: (1, 0), 2: (0, float("inf")), 3: (0, float("inf")), 4: (0, float("inf"))}
+    assert assign(df.filter("row_id = 1"), b, keep=[]).columns == ["neuron_id", "x", "y", "distance"]
+    sums, counts = update.bmu_sums(df, b, nan=True)
+    assert counts.tolist() == [[0], [1]] and sums.tolist() == [[0], [2]]
+
+
 def test_imputation():
     b = book({(0, 0): [10, 20, 30], (1, 0): [0, 0, 0], (2, 0): [12, 22, 32]})
     update.impute(b, 1, np.array([0.0, 1, 100]))
