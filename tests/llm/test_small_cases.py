@@ -335,6 +335,20 @@ def test_outlier_verdicts_against_exact_mcd(spark):
     assert 0 < sum(not r.kept for r in got) < 0.2 * len(got)
 
 
+def test_outliers_reject_repetition_alone(spark):
+    text = lambda i, n: [f"w{(37 * i + k) % 900 + 100}" for k in range(n)]
+    clean = [(i, "\n".join(" ".join(text(i, 120)[k : k + 8]) for k in range(0, 120, 8))) for i in range(200)]
+    lines = " ".join(text(7, 80)) + "\nw100" * 20
+    half = " ".join(["w101 w102 w103 w104"] * 12 + text(9, 52))
+    trace = clean[3][1] + "\nw105\nw105"
+    rows = [*clean, (1000, lines), (1001, half), (1002, trace)]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.rated(docs, ("doc_id",)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {1000, 1001}
+    assert {r.doc_id for r in outliers.clean_documents(docs).collect()} == {i for i, r in got.items() if r.kept}
+
+
 def test_outlier_stage_keeps_columns(spark, docs):
     assert outliers.clean_documents(docs).columns == docs.columns
 
