@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays."""
+    """One row of each group of near copies stays. Groups are op9's (three words, 2 bits); README has their recall."""
     return simhash.one_of_each(docs)
 
 
