@@ -232,7 +232,7 @@ class Counter(dict):
 
     def block(self, text: str) -> Block:
         chunks = self.split(text)
-        head, tail = text[0] not in SPACE, text[-1] not in SPACE
+        head, tail = not self.space.match(text[0]), not self.space.match(text[-1])
         if len(chunks) == 1 and head and tail:
             return Block(text)
         inner = chunks[int(head) : len(chunks) - int(tail)]

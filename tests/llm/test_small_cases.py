@@ -211,6 +211,26 @@ def test_tokens_as_the_library_counts(library, text):
         assert tokens.scan(blocks, c.join)[-1] == tokens.total(blocks, c.join)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", ".", "-", "--", " ", "'s", *map(chr, range(0x2000, 0x200B))]), max_size=30).map("".join))
+def test_block_ends_as_the_library_counts(library, text):
+    c = tokens.counter(tokens.tokenizer_path())
+    n = len(library.encode(text, add_special_tokens=False).ids)
+    assert all(c.count(text, block) == n for block in (1, 2, 3, 7, 1 << 16))
+
+
+def test_block_ends_of_long_texts(library):
+    c = tokens.counter(tokens.tokenizer_path())
+    filler = "word " * (tokens.BLOCK_CHARS // 5) + "x" * (tokens.BLOCK_CHARS % 5)
+    start = filler[:-1]
+    for end in ("--", "\u2003" * 2, "\u2003bar", "-\u2003", " \u2003", "a\u2003"):
+        text = start + end
+        assert len(text) > tokens.BLOCK_CHARS
+        assert c.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    foo = filler[:-3] + "foo\u2003bar"
+    assert c.count(foo) == len(library.encode(foo, add_special_tokens=False).ids)
+
+
 def test_tokens_small_cases(spark, tables, library):
     got = {r.doc_id: r for r in tokens.op5(spark, tables[0]).collect()}
     for i, t, *_ in DOCS:
