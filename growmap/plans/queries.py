@@ -90,6 +90,14 @@ def empty_neurons(spark, sf):
     return maps.empty_neurons(n, scored(spark, sf).filter("row_id % 50 = 0"))
 
 
+def empty_neurons_all(spark, sf):
+    """Over all rows; prototype 16, ten in each dimension, is far from all of them."""
+    near = neurons_of(spark, sf)
+    far = near.filter("neuron_id = 0").select(F.lit(16).alias("neuron_id"), F.lit(0).alias("x"), F.lit(4).alias("y"), F.transform("weights", lambda w: F.lit(10.0)).alias("weights"))
+    n = near.unionByName(far)
+    return maps.empty_neurons(n, assign(rows_of(spark, sf), Codebook.collect(n), nan=False))
+
+
 def neuron_stats(spark, sf):
     s = maps.neuron_stats(neurons_of(spark, sf), scored(spark, sf))
     return s.withColumns({"mean_hits": r6("mean_hits"), "active_fraction": r6("active_fraction")})

@@ -91,6 +91,12 @@ SQL: dict[str, str] = {
     "topographic_error": sql("ranked adj", "SELECT round(avg(CASE WHEN adj.k IS NULL THEN 1.0 ELSE 0.0 END), 6) AS te FROM ranked a JOIN ranked c ON a.row_id = c.row_id AND a.rank = 1 AND c.rank = 2 LEFT JOIN adj ON src_id = a.neuron_id AND dst_id = c.neuron_id"),
     "hit_counts": sql("hits", "SELECT * FROM hits"),
     "empty_neurons": sql("n b", "SELECT neuron_id, x, y FROM n WHERE neuron_id NOT IN (SELECT neuron_id FROM b WHERE row_id % 50 = 0)"),
+    "empty_neurons_all": sql(
+        "n r",
+        """, m AS (SELECT neuron_id, x, y, w FROM n UNION ALL SELECT 16, 0, 4, list_transform(w, lambda v: 10.0::DOUBLE) FROM n WHERE neuron_id = 0),
+        d AS (SELECT row_id, neuron_id, row_number() OVER (PARTITION BY row_id ORDER BY list_sum(list_transform(list_zip(f, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), neuron_id) AS rank FROM r, m)
+        SELECT neuron_id, x, y FROM m WHERE neuron_id NOT IN (SELECT neuron_id FROM d WHERE rank = 1)""",
+    ),
     "neuron_stats": sql("hits", "SELECT count(*)::BIGINT AS total, count(*) FILTER (hits > 0)::BIGINT AS active, count(*) FILTER (hits = 0)::BIGINT AS empty, min(hits) AS min_hits, round(avg(hits), 6) AS mean_hits, max(hits) AS max_hits, round(count(*) FILTER (hits > 0) / count(*), 6) AS active_fraction FROM hits"),
     "hit_histogram": sql("hits", "SELECT hits, count(*)::BIGINT AS n_neurons FROM hits GROUP BY 1"),
     "hex_edges": sql("hadj", "SELECT DISTINCT src_id, dst_id FROM hadj WHERE src_id < dst_id"),

@@ -41,3 +41,11 @@ def test_twin(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+def test_empty_neurons_of_all_rows(spark):
+    from growmap.plans import queries
+
+    empty = {r.neuron_id for r in registry.QUERIES["empty_neurons_all"](spark, SF).collect()}
+    hit = {r.neuron_id for r in queries.scored(spark, SF).select("neuron_id").distinct().collect()}
+    assert empty == set(range(17)) - hit and 16 in empty
