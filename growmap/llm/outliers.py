@@ -40,7 +40,9 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: words on: 0.3 / 0.0945^2 and 0.4 / 0.109^2 are just above the cut-off of TAIL, 33.4.
 FLOORS = (0.06, 0.04, 0.0945, 0.109)
 DIM = len(FLOORS)
-KEEP_SHARE, MIN_ROWS, STEPS, TAIL = 0.75, 50, 8, 1e-6
+KEEP_SHARE, STEPS, TAIL = 0.75, 8, 1e-6
+#: Least vectors of a group: five for each dimension in the share that the estimate is made of.
+MIN_ROWS = math.ceil(5 * DIM / KEEP_SHARE)
 #: Bins of squared distances per doubling.
 BINS = 16
 

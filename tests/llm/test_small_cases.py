@@ -369,6 +369,14 @@ def test_outliers_reject_repetition_alone(spark):
     assert {r.doc_id for r in outliers.clean_documents(docs).collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_outliers_least_rows_of_a_group(spark):
+    plain = [(i, " ".join(f"w{(37 * i + k) % 900 + 100}" for k in range(80))) for i in range(26)]
+    odd = (100, " ".join(f"w{k}###" for k in range(100, 180)))
+    for rows, rejected in ((plain[:25], set()), (plain, {100})):
+        docs = spark.createDataFrame([(i, t, "en", "a") for i, t in [*rows, odd]], "doc_id bigint, text string, lang string, source string")
+        assert {r.doc_id for r in outliers.rated(docs, ("doc_id",)).filter("NOT kept").collect()} == rejected
+
+
 def test_outlier_stage_keeps_columns(spark, docs):
     assert outliers.clean_documents(docs).columns == docs.columns
 
