@@ -523,7 +523,7 @@ def umatrix_clusters(spark, sf):
 
 
 def elbow(spark, sf):
-    return cluster.elbow(rows_of(spark, sf), range(2, 5))
+    return cluster.elbow(rows_of(spark, sf))
 
 
 # -- more of the above

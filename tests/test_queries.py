@@ -49,3 +49,7 @@ def test_empty_neurons_of_all_rows(spark):
     empty = {r.neuron_id for r in registry.QUERIES["empty_neurons_all"](spark, SF).collect()}
     hit = {r.neuron_id for r in queries.scored(spark, SF).select("neuron_id").distinct().collect()}
     assert empty == set(range(17)) - hit and 16 in empty
+
+
+def test_elbow_tries_the_default_range(spark):
+    assert sorted(r.k for r in registry.QUERIES["elbow"](spark, SF).collect()) == list(range(2, 11))
