@@ -382,6 +382,20 @@ def missing_filter(spark, sf):
     return relational.missing_share(relational.drop_sparse_groups(m, "o_custkey", ["total0", "total1", "n_orders"], 50.0), "o_custkey", ["total0", "total1", "n_orders"]).withColumn("missing_pct", r6("missing_pct"))
 
 
+def outer_merge_all(spark, sf):
+    """Series by the status of the order: F, O, and all others, which together are all orders."""
+    o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    total = lambda s: o.filter(F.col("o_orderstatus") == s).groupBy("o_custkey", "year").agg(F.round(F.sum("o_totalprice"), 2).alias(f"total_{s.lower()}"))
+    other = o.filter(~F.coalesce(F.col("o_orderstatus").isin("F", "O"), F.lit(False))).groupBy("o_custkey", "year").agg(F.count("*").alias("n_other"))
+    return relational.outer_merge([total("F"), total("O"), other], ["o_custkey", "year"])
+
+
+def missing_filter_all(spark, sf):
+    columns = ["total_f", "total_o", "n_other"]
+    m = outer_merge_all(spark, sf)
+    return relational.missing_share(relational.drop_sparse_groups(m, "o_custkey", columns, 50.0), "o_custkey", columns).withColumn("missing_pct", r6("missing_pct"))
+
+
 def anti_filter(spark, sf):
     return relational.exclude(table(spark, sf, "nation"), "n_name", ["FRANCE", "GERMANY"]).select("n_nationkey", "n_name")
 

@@ -28,6 +28,7 @@ CTE = {
     "tr": "SELECT user_id, i::INT AS time_index, day AS end_time, neuron_id::INT AS neuron_id, x::INT AS x, y::INT AS y, distance FROM trd QUALIFY row_number() OVER (PARTITION BY user_id, i ORDER BY distance, neuron_id) = 1",
     "og": "SELECT o_custkey, year(o_orderdate)::INT AS year, round(sum(o_totalprice), 2) AS total, count(*)::BIGINT AS c FROM orders GROUP BY 1, 2",
     "om": "SELECT o_custkey, year, CASE WHEN o_custkey % 3 = 0 AND year <> 1993 THEN total END AS total0, CASE WHEN o_custkey % 3 = 1 AND year <> 1994 THEN total END AS total1, CASE WHEN o_custkey % 2 = 0 THEN c END AS n_orders FROM og WHERE o_custkey % 3 = 0 AND year <> 1993 OR o_custkey % 3 = 1 AND year <> 1994 OR o_custkey % 2 = 0",
+    "oma": "SELECT o_custkey, year(o_orderdate)::INT AS year, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS total_f, round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS total_o, nullif(count(*) FILTER (coalesce(o_orderstatus NOT IN ('F', 'O'), true)), 0)::BIGINT AS n_other FROM orders GROUP BY 1, 2",
     "cl": "SELECT row_id, label, b.neuron_id, CASE WHEN b.neuron_id = 3 THEN 9 ELSE b.x END AS cluster FROM b",
     "ct": "SELECT cluster, label, count(*)::BIGINT AS n FROM cl GROUP BY ALL",
 }
@@ -150,6 +151,8 @@ SQL: dict[str, str] = {
     "name_clusters": "WITH m AS (SELECT (c_custkey % 9)::INT AS cluster, avg(c_acctbal) AS v FROM customer GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY v, cluster) - 1 AS r FROM m) SELECT cluster, round(v, 6) AS mean_value, ['low', 'middle', 'high'][(r // 3 + 1)::INT] || CASE WHEN r % 3 > 0 THEN ' (2)' ELSE '' END AS name FROM r",
     "outer_merge": sql("om", "SELECT * FROM om"),
     "missing_filter": sql("om", ", m AS (SELECT o_custkey, count(*)::BIGINT AS n_rows, (3 * count(*) - count(total0) - count(total1) - count(n_orders)) * 100.0::DOUBLE / (3 * count(*)) AS pct FROM om GROUP BY 1) SELECT o_custkey, n_rows, round(pct, 6) AS missing_pct FROM m WHERE pct <= 50"),
+    "outer_merge_all": sql("oma", "SELECT * FROM oma"),
+    "missing_filter_all": sql("oma", ", m AS (SELECT o_custkey, count(*)::BIGINT AS n_rows, (3 * count(*) - count(total_f) - count(total_o) - count(n_other)) * 100.0::DOUBLE / (3 * count(*)) AS pct FROM oma GROUP BY 1) SELECT o_custkey, n_rows, round(pct, 6) AS missing_pct FROM m WHERE pct <= 50"),
     "anti_filter": "SELECT n_nationkey, n_name FROM nation WHERE n_name NOT IN ('FRANCE', 'GERMANY')",
     "conditional_null": "SELECT o_orderkey, year(o_orderdate)::INT AS year, CASE WHEN year(o_orderdate) >= 1995 THEN o_totalprice END AS o_totalprice FROM orders",
     "label_encode": "SELECT event_type, (dense_rank() OVER (ORDER BY event_type) - 1)::INT AS code, count(*)::BIGINT AS n FROM events GROUP BY 1",

@@ -53,3 +53,9 @@ def test_empty_neurons_of_all_rows(spark):
 
 def test_elbow_tries_the_default_range(spark):
     assert sorted(r.k for r in registry.QUERIES["elbow"](spark, SF).collect()) == list(range(2, 11))
+
+
+def test_outer_merge_of_all_customers(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    got = {r.o_custkey for r in registry.QUERIES["outer_merge_all"](spark, SF).collect()}
+    assert got == {r.o_custkey for r in orders.select("o_custkey").distinct().collect()}
