@@ -4,10 +4,14 @@ whose names clash with results."""
 import hashlib
 import json
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -200,15 +204,16 @@ def library():
     return Tokenizer.from_file(tokens.tokenizer_path())
 
 
+def counts(c, texts, *size):
+    return c.count(pa.array(texts, pa.string()), *size).tolist()
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60) | st.text(alphabet="aAbetioné'sIıİ́ẛ̣Σ09² .,!\x1c\x85 <|endoftext>漢😀", max_size=40))
-def test_tokens_as_the_library_counts(library, text):
+@given(st.lists(st.text(max_size=60) | st.text(alphabet="aAbetioné'sIıİ́ẛ̣Σ09² .,!\x1c\x85 <|endoftext>漢😀", max_size=40) | st.none(), max_size=4))
+def test_tokens_as_the_library_counts(library, texts):
     c = tokens.counter(tokens.tokenizer_path())
-    n = len(library.encode(text, add_special_tokens=False).ids)
-    assert c.count(text) == n and all(c.count(text, block) == n for block in (1, 3, 7))
-    blocks = [c.block(text[k : k + 4]) for k in range(0, len(text), 4)]
-    if blocks:
-        assert tokens.scan(blocks, c.join)[-1] == tokens.total(blocks, c.join)
+    n = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert all(counts(c, texts, size) == n for size in (1, 12, 40, tokens.SLICE))
 
 
 @settings(max_examples=300, deadline=None)
@@ -216,19 +221,56 @@ def test_tokens_as_the_library_counts(library, text):
 def test_block_ends_as_the_library_counts(library, text):
     c = tokens.counter(tokens.tokenizer_path())
     n = len(library.encode(text, add_special_tokens=False).ids)
-    assert all(c.count(text, block) == n for block in (1, 2, 3, 7, 1 << 16))
+    assert all(counts(c, [text], size) == [n] for size in (1, 4, 12, 28, 1 << 16))
 
 
-def test_block_ends_of_long_texts(library):
+def test_long_texts_as_the_library_counts(library):
     c = tokens.counter(tokens.tokenizer_path())
-    filler = "word " * (tokens.BLOCK_CHARS // 5) + "x" * (tokens.BLOCK_CHARS % 5)
-    start = filler[:-1]
-    for end in ("--", "\u2003" * 2, "\u2003bar", "-\u2003", " \u2003", "a\u2003"):
-        text = start + end
-        assert len(text) > tokens.BLOCK_CHARS
-        assert c.count(text) == len(library.encode(text, add_special_tokens=False).ids)
-    foo = filler[:-3] + "foo\u2003bar"
-    assert c.count(foo) == len(library.encode(foo, add_special_tokens=False).ids)
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    for text in ("ab" * 3000, "x" * 5001, word(20_000), "antidisestablishmentarianism" * 300, " ".join(word(int(n)) for n in rng.integers(1, 60, 2000)), "漢" * 3000 + "\u2003" * 2 + word(50)):
+        n = len(library.encode(text, add_special_tokens=False).ids)
+        assert counts(c, [text, text]) == [n, n] and counts(c, [text], 999) == [n]
+
+
+def test_a_table_that_starts_anew_counts_the_same(library):
+    small = tokens.Counter(tokens.tokenizer_path(), slot_bits=10, max_states=50)
+    rng = np.random.default_rng(4)
+    text = " ".join("".join(map(chr, rng.integers(97, 123, int(n)))) for n in rng.integers(1, 12, 300))
+    runs = [text, "y" + text.replace(" ", "")]
+    group, tokens.GROUP = tokens.GROUP, 3
+    try:
+        assert counts(small, runs) == [len(library.encode(t, add_special_tokens=False).ids) for t in runs]
+    finally:
+        tokens.GROUP = group
+    assert len(small.machine.keys) < 50 + 4 * 16 + 1 and 2 * small.machine.used < (1 << 10) + 4 * 16
+
+
+def test_memory_of_rare_words_has_a_bound():
+    """5 MB of random words take less than 200 MB beyond the loaded tokenizer."""
+    code = """if 1:
+        import resource, numpy as np, pyarrow as pa
+        from growmap.llm import tokens
+        c = tokens.counter(tokens.tokenizer_path())
+        rng = np.random.default_rng(1)
+        words = np.frombuffer(rng.integers(97, 123, 5 << 20, dtype=np.uint8).tobytes(), np.uint8).copy()
+        words[rng.random(len(words)) < 0.12] = 32
+        texts = pa.array([words.tobytes().decode()])
+        peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        before = peak()
+        assert c.count(texts)[0] > 1 << 20
+        print((peak() - before) // 1024)
+    """
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True)
+    assert int(got.stdout) < 200
+
+
+def test_tokens_beside_clashing_columns(spark, docs):
+    more = docs.withColumns({"n_tokens": F.lit("x"), "n_bytes": F.lit("y"), "__text": F.lit("z")})
+    got = tokens.count_tokens(more, keep=("doc_id", "n_bytes", "n_tokens"))
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens"] and dict(got.dtypes)["n_tokens"] == "bigint"
+    want = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs).collect()}
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == want
 
 
 def test_tokens_small_cases(spark, tables, library):
@@ -236,23 +278,32 @@ def test_tokens_small_cases(spark, tables, library):
     for i, t, *_ in DOCS:
         assert got[i].n_tokens == len(library.encode(t or "", add_special_tokens=False).ids) and got[i].n_bytes == len((t or "").encode())
     c = tokens.counter(tokens.tokenizer_path())
-    assert c.count("a<|endoftext|>b<|startoftext|>") == len(library.encode("a<|endoftext|>b<|startoftext|>", add_special_tokens=False).ids) == 4
+    assert counts(c, ["a<|endoftext|>b<|startoftext|>"])[0] == len(library.encode("a<|endoftext|>b<|startoftext|>", add_special_tokens=False).ids) == 4
 
 
 def test_chunk_maps_compose():
     m = tokens.counter(tokens.tokenizer_path()).machine
-    word = "antidisestablishmentarianism"
-    symbols = [*word[:-1], word[-1] + m.suffix]
-    whole = m.chunk(symbols, [0])
-    for cut in (1, 7, 20):
-        first = m.chunk(symbols[:cut], [0])
-        second = m.chunk(symbols[cut:], [at for at, _ in first.values()])
-        assert tokens.compose(first, second) == whole
-    parts, states = [], [0]
-    for k in range(0, len(symbols), 5):
-        parts.append(m.chunk(symbols[k : k + 5], states))
-        states = [at for at, _ in parts[-1].values()]
-    assert tokens.scan(parts)[-1] == whole and whole[0] == (0, m.word(word.encode()))
+    for word in (b"antidisestablishmentarianism" * 9, b"ab" * 100, b"x" * 77, b"a"):
+        symbols = np.frombuffer(word, np.uint8).astype(np.int64)
+        symbols[-1] += 256
+        state, whole = 0, 0
+        for s in symbols.tolist():
+            value = m.step(state, s)
+            state, whole = value >> 8, whole + (value & 255) - 128
+        assert state == 0 and m.count(np.frombuffer(word, np.uint8), np.array([0, len(word)])).tolist() == [whole]
+        for size in (1, 3, 16):
+            begin = np.arange(0, len(word), size)
+            length, head = np.minimum(len(word) - begin, size), begin == 0
+            entry, exit_, n = m.maps(symbols, begin, length, head, 0)
+            assert tokens.scan(entry, exit_, n, head).tolist() == np.cumsum(n).tolist() and n.sum() == whole
+
+
+def test_tokens_fit_as_the_merges_leave_them():
+    m = tokens.counter(tokens.tokenizer_path()).machine
+    rng = np.random.default_rng(6)
+    for a, b in zip(rng.integers(0, 3000, 4000).tolist(), rng.integers(0, 3000, 4000).tolist()):
+        if all(m.bpe(m.split(t)) == [t] for t in (a, b)) and not 256 <= m.split(a)[-1]:
+            assert m.fits(a, b) == (m.bpe(m.split(a) + m.split(b)) == [a, b])
 
 
 def test_jump_by_the_published_loop():
