@@ -26,8 +26,8 @@ class GrowingMap:
     ``nan_scope``: "batch" chooses the metric for the whole table, "row" for streams always takes the one
     for missing values, which is the plain one on complete rows but for the weights.
 
-    Up to ``local_cells`` values (32 MB) are trained on the driver by the same kernel, as a job for each epoch
-    would take longer than the epoch.
+    ``growth_rule``: "directed" or "reflected", see ``growth.grow``. Tables of up to ``local_cells`` values are
+    trained on the driver by the same kernel, which saves the jobs of small tables; by default none is.
     """
 
     max_neurons: int = 100
@@ -43,7 +43,8 @@ class GrowingMap:
     min_neurons: int = 4
     min_hits: int = 1
     nan_scope: str = "batch"
-    local_cells: int = 4_000_000
+    local_cells: int = 0
+    growth_rule: str = "directed"
     book: Codebook | None = None
     missing: update.Missingness | None = None
     threshold: float | None = None
@@ -59,6 +60,8 @@ class GrowingMap:
             self.spread = 0.5
         if self.error_factor is not None and self.error_factor <= 0:
             raise ValueError("error_factor is above 0")
+        if self.growth_rule not in ("directed", "reflected"):
+            raise ValueError("growth_rule is directed or reflected")
         if self.max_neurons < 1 or self.n_iter < 0 or min(self.init_size) < 1:
             raise ValueError("sizes must be positive")
 
@@ -128,7 +131,7 @@ class GrowingMap:
             update.update(rows, self.book, sigma, self.features, self.missing, nan)
             update.accumulate_errors(rows, old, self.book, self.features, self.missing, nan)
             growth.distribute_errors(self.book, self.threshold)
-            self.book = growth.grow(self.book, self.threshold, self.max_neurons, noise)
+            self.book = growth.grow(self.book, self.threshold, self.max_neurons, noise, self.growth_rule)
             self.history.append(("coarse", e, sigma, len(self.book)))
 
     def _fine(self, rows: DataFrame | np.ndarray, epochs: int, nan: bool) -> None:
@@ -186,6 +189,18 @@ class GrowingMap:
     def n_neurons(self) -> int:
         return len(self._book())
 
+    @property
+    def input_dim(self) -> int:
+        return self._book().weights.shape[1]
+
+    def has_neuron(self, x: int, y: int) -> bool:
+        return (x, y) in self._book().index
+
+    def get_neuron(self, x: int, y: int) -> tuple[int, np.ndarray]:
+        """neuron_id and weights of the neuron in a cell; an empty cell is a KeyError."""
+        k = self._book().index[x, y]
+        return int(self.book.ids[k]), self.book.weights[k]
+
     def hit_counts(self, df: DataFrame | str) -> DataFrame:
         return maps.hit_counts(self.neurons(), self._unweighted(df))
 

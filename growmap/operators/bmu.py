@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,8 +87,20 @@ def nearest(x: np.ndarray, book: np.ndarray, dim_weights: np.ndarray | None, nan
     return (np.concatenate(at), np.concatenate(d)) if at else (np.zeros((0, k), int), np.zeros((0, k)))
 
 
+def find_bmu(x: list[float] | np.ndarray, book: Codebook, dim_weights: np.ndarray | None = None) -> tuple[int, float]:
+    """neuron_id and distance of the neuron nearest to one vector; NaN is a missing value."""
+    row = np.asarray(x, float).reshape(1, -1)
+    if row.shape[1] != book.weights.shape[1]:
+        raise ValueError(f"a vector of {book.weights.shape[1]} values is needed")
+    at, d2 = nearest(row, book.weights, dim_weights, bool(np.isnan(row).any()))
+    return int(book.ids[at[0, 0]]), float(np.sqrt(d2[0, 0]))
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """list<double> -> (n, dim), NULL as NaN; no copy by row."""
+    """list<double> -> (n, dim), NULL as NaN; no copy by row. Rows of another length are an error."""
+    sizes = pc.list_value_length(column)
+    if len(sizes) and (sizes.null_count or pc.any(pc.not_equal(sizes, dim)).as_py()):
+        raise ValueError(f"features must have {dim} values in each row")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     return flat.reshape(-1, dim)
 

@@ -102,21 +102,31 @@ def direction(g: Grid, p: Pos, noise: np.random.Generator) -> tuple[Pos, np.ndar
     return free[0], 2 * own - (g.weight(opposite[0]) if opposite else np.mean([g.weight(q) for q in near], axis=0))
 
 
+def reset_errors(book: Codebook) -> None:
+    """In place."""
+    book.errors, book.hits = np.zeros(len(book)), np.zeros(len(book), int)
+
+
 def insert_reflected(g: Grid, p: Pos, parent: Pos, noise: np.random.Generator) -> None:
     """The simpler growth: reflected on the parent's first occupied neighbour."""
     own, near = g.weight(parent), g.occupied(parent)
     g.add(p, 2 * own - g.weight(near[0]) if near else own + 0.01 * noise.standard_normal(len(own)))
 
 
-def grow(book: Codebook, threshold: float, max_neurons: int, noise: np.random.Generator | None = None) -> Codebook:
-    """Candidates are fixed at the start; later ones see the neurons that earlier ones added."""
+def grow(book: Codebook, threshold: float, max_neurons: int, noise: np.random.Generator | None = None, rule: str = "directed") -> Codebook:
+    """Candidates are fixed at the start; later ones see the neurons that earlier ones added. ``rule``:
+    "directed", by the number of neighbours, or "reflected", into the first empty cell."""
     g, noise = Grid(book), noise or np.random.default_rng(0)
     for p in growth_candidates(g, threshold):
         if len(g.xy) >= max_neurons:
             break
-        if (found := direction(g, p, noise)) is not None:
-            g.add(*found)
-            g.errors[g.at[p]] = 0.0
+        if not g.is_boundary(p):
+            continue
+        if rule == "reflected":
+            insert_reflected(g, g.empty(p)[0], p, noise)
+        else:
+            g.add(*direction(g, p, noise))
+        g.errors[g.at[p]] = 0.0
     return g.codebook()
 
 

@@ -38,15 +38,15 @@ def nmi(table: DataFrame) -> DataFrame:
 def ari(table: DataFrame) -> DataFrame:
     """One row: ari; 1 where the index can't vary."""
     s = _sums(table)
-    expected = F.col("p_i") * F.col("p_j") / (F.col("n") * (F.col("n") - 1) / 2)
+    expected = F.coalesce(F.try_divide(F.col("p_i") * F.col("p_j"), F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))
     span = (F.col("p_i") + F.col("p_j")) / 2 - expected
-    return s.select(F.when(span == 0, 1.0).otherwise((F.col("p_ij") - expected) / span).alias("ari"))
+    return s.select(F.coalesce(F.try_divide(F.col("p_ij") - expected, span), F.lit(1.0)).alias("ari"))
 
 
 def purity(table: DataFrame) -> DataFrame:
     """One row: purity, the share of rows in their cluster's largest class."""
     best = table.groupBy("cluster").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-    return best.agg((F.sum("most") / F.sum("n")).alias("purity"))
+    return best.agg(F.try_divide(F.sum("most"), F.sum("n")).alias("purity"))
 
 
 def cluster_purity(table: DataFrame) -> DataFrame:
@@ -85,16 +85,18 @@ def class_stats(assigned: DataFrame, label: str = "label") -> DataFrame:
 
 def davies_bouldin_sql(rows: DataFrame, cluster: str = "cluster", features: str = "features") -> DataFrame:
     """One row: davies_bouldin of any number of rows: centroids by dimension, spreads, then pairs of
-    clusters, of which there are few."""
+    clusters, met by an equi-join on the dimension and summed. Equal centroids count 0, as does a single
+    cluster. Rows only meet the centroid of their own cluster."""
     long = rows.select(F.col(cluster).alias("c"), F.posexplode(F.col(features).cast("array<double>")).alias("k", "v"))
     mean = long.groupBy("c", "k").agg(F.avg("v").alias("m"))
     centers = mean.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("center"))
-    met = rows.select(F.col(cluster).alias("c"), F.col(features).cast("array<double>").alias("f")).join(F.broadcast(centers), "c")
-    spread = centers.join(met.groupBy("c").agg(F.avg(vectors.euclidean(F.col("f"), F.col("center"))).alias("s")), "c")
-    others = spread.agg(F.collect_list(F.struct("c", "center", "s")).alias("o"))
-    pairs = spread.join(F.broadcast(others), F.lit(True))
-    worst = F.array_max(F.transform(F.filter("o", lambda o: o["c"] != F.col("c")), lambda o: (o["s"] + F.col("s")) / vectors.euclidean(o["center"], F.col("center"))))
-    return pairs.agg(F.avg(worst).alias("davies_bouldin"))
+    met = rows.select(F.col(cluster).alias("c"), F.col(features).cast("array<double>").alias("f")).join(centers, "c")
+    spread = met.groupBy("c").agg(F.avg(vectors.euclidean(F.col("f"), F.col("center"))).alias("s"))
+    own = mean.join(spread, "c")
+    other = own.select(F.col("c").alias("oc"), "k", F.col("m").alias("om"), F.col("s").alias("os"))
+    apart = own.join(other, "k").filter("c <> oc").groupBy("c", "oc", "s", "os").agg(F.sqrt(F.sum((F.col("m") - F.col("om")) ** 2)).alias("d"))
+    worst = apart.groupBy("c").agg(F.max(F.coalesce(F.try_divide(F.col("s") + F.col("os"), F.col("d")), F.lit(0.0))).alias("w"))
+    return worst.agg(F.coalesce(F.avg("w"), F.lit(0.0)).alias("davies_bouldin"))
 
 
 def silhouette_sql(points: DataFrame, cluster: str = "cluster", features: str = "weights", row_id: str = "neuron_id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -89,6 +90,12 @@ def trajectory(scored: DataFrame, entity) -> DataFrame:
     return entity_windows(scored, entity).select("time_index", "neuron_id", "x", "y", "distance").orderBy("time_index")
 
 
+def trajectories(parts: list[DataFrame]) -> DataFrame:
+    """Scored windows of several entities or maps as one table, in order of entity and time; columns that
+    some of them lack are NULL there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).orderBy("entity", "time_index")
+
+
 def decade(year: Column, decades: list[int] | None = None) -> Column:
     """The largest decade not after the year; of a list, NULL before the first."""
     if decades is None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,11 +45,22 @@ def first_names(df: DataFrame, key: str, name: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(name, F.struct(order, name)).alias(name))
 
 
+#: Classes up to which their codes are sent to every executor.
+BROADCAST_CLASSES = 200_000
+
+
+def count_distinct(df: DataFrame, **columns: str | Column) -> DataFrame:
+    """One row: the number of distinct values of each column, by its result's name."""
+    return df.agg(*[F.count_distinct(c).alias(name) for name, c in columns.items()])
+
+
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Sorted classes -> 0, 1, ...; classes are few, and are ranked apart from the rows."""
-    classes = df.select(column).distinct().filter(F.col(column).isNotNull())
-    codes = classes.select(F.col(column).alias("__class"), (F.row_number().over(Window.orderBy(column)) - 1).alias(out))
-    return df.join(F.broadcast(codes), df[column] == codes["__class"], "left").drop("__class")
+    """Sorted classes -> 0, 1, ...; no value, no code. Only the distinct classes are ranked, in one sorted
+    task; their codes are sent out up to BROADCAST_CLASSES of them, else both sides shuffle."""
+    classes = df.select(F.col(column).alias("__class")).distinct().filter("__class IS NOT NULL")
+    codes = classes.select("__class", (F.row_number().over(Window.orderBy("__class")) - 1).alias(out))
+    few = classes.count() <= BROADCAST_CLASSES
+    return df.join(F.broadcast(codes) if few else codes, df[column] == codes["__class"], "left").drop("__class")
 
 
 def prepare_panel(df: DataFrame, entity: str, year: str, columns: list[str], excluded: list, sparse_pct: float = 30.0, late: dict[str, int] | None = None, **rescale: tuple[str, ...]) -> DataFrame:

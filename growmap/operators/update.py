@@ -31,12 +31,19 @@ class Missingness:
 
 
 def missingness(rows: DataFrame, dim: int, features: str = "features") -> Missingness:
-    v = vectors.clean(F.col(features))
-    s = rows.agg(F.count("*").alias("n"), *[F.count_if(F.get(v, k).isNull()).alias(f"m{k}") for k in range(dim)]).first()
-    if dim < 1 or s["n"] < 1:
+    n = rows.count()
+    if dim < 1 or n < 1:
         raise ValueError("missingness needs rows and dimensions")
-    rates = np.array([s[f"m{k}"] for k in range(dim)]) / s["n"]
-    return Missingness(rates, (1 - rates) ** 2, s["n"])
+    seen = np.zeros(dim)
+    for r in by_dimension(rows, features).agg(F.count("v").alias("n")).filter(F.col("k") < dim).collect():
+        seen[r.k] = r.n
+    rates = (n - seen) / n
+    return Missingness(rates, (1 - rates) ** 2, n)
+
+
+def by_dimension(rows: DataFrame, features: str):
+    """Values v grouped by dimension k; each row is unfolded once, and aggregates are partial in each task."""
+    return rows.select(F.posexplode(vectors.clean(F.col(features))).alias("k", "v")).groupBy("k")
 
 
 def growth_threshold(rows: DataFrame | None, dim: int, spread: float | None = None, error: float | None = None, features: str = "features") -> float:
@@ -45,9 +52,8 @@ def growth_threshold(rows: DataFrame | None, dim: int, spread: float | None = No
         return vectors.threshold_from_spread(spread, dim)
     if rows is None:
         raise ValueError("the statistical threshold needs rows")
-    v = vectors.clean(F.col(features))
-    s = rows.agg(*[F.coalesce(F.var_samp(F.get(v, k)), F.lit(0.0)).alias(f"v{k}") for k in range(dim)]).first()
-    return error * float(np.sqrt(sum(s)))
+    s = by_dimension(rows, features).agg(F.coalesce(F.var_samp("v"), F.lit(0.0)).alias("s")).filter(F.col("k") < dim).collect()
+    return error * float(np.sqrt(sum(r.s for r in sorted(s))))
 
 
 def block_sums(x: np.ndarray, weights: np.ndarray, dim_weights: np.ndarray | None, nan: bool) -> tuple[np.ndarray, np.ndarray]:

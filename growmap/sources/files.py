@@ -23,6 +23,9 @@ def _flat(df: DataFrame, array: str, names: list[str] | None = None) -> DataFram
 
 
 def _write(df: DataFrame, path: str, fmt: str, partition: str | None = None) -> None:
+    """Partitioned output is dealt by its key first, so each folder gets files of few tasks, not of all; the
+    rebalance splits keys with many rows."""
+    df = df.hint("rebalance", partition) if partition else df
     w = df.write.mode("overwrite").partitionBy(partition) if partition else df.write.mode("overwrite")
     w.csv(path, header=True) if fmt == "csv" else w.parquet(path)
 

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from growmap.functions import rescale
-from growmap.operators import cluster, metrics, panel, relational
-from growmap.operators.bmu import Codebook
+from growmap.model import GrowingMap
+from growmap.operators import cluster, metrics, panel, relational, update
+from growmap.operators.bmu import Codebook, assign, find_bmu
 from growmap.operators.preprocess import ColumnType, Normalization, Scaler, entity_zscore
 from growmap.sources import files, indicators
 
@@ -147,3 +148,33 @@ def test_indicator_source(spark, tmp_path):
     got = indicators.read_indicators(spark, str(tmp_path), ["AAA", "BBB"], {"I": "i", "J": "j"}).collect()
     assert [tuple(r) for r in got] == [("AAA", "aaa", 2000, 1.0, 5.0), ("BBB", "bbb", 2001, 2.0, None)]
     assert [r.code for r in indicators.read_countries(spark, str(tmp_path)).collect()] == ["AAA"]
+
+
+def test_ragged_vectors_are_an_error(spark):
+    rows = spark.createDataFrame([([0.0, 0.0, 5.0],), ([9.0],)], "features array<double>")
+    book = Codebook.of([(0, 0), (1, 0)], [[0.0, 0.0], [5.0, 9.0]])
+    for run in (lambda: assign(rows, book, nan=False).collect(), lambda: update.bmu_sums(rows, book), lambda: update.accumulate_errors(rows, book, book)):
+        with pytest.raises(Exception, match="features must have 2 values"):
+            run()
+    with pytest.raises(Exception, match="features must have 3 values"):
+        GrowingMap(n_iter=2).fit(rows)
+    with pytest.raises(ValueError, match="2 values"):
+        find_bmu([1.0], book)
+    assert find_bmu([4.0, 9.0], book) == (1, 1.0)
+
+
+def test_metrics_of_degenerate_tables(spark):
+    one = spark.createDataFrame([(1, 1)], "cluster int, label int")
+    assert metrics.all_metrics(one) == {"nmi": 1.0, "ari": 1.0, "purity": 1.0, "n_clusters": 1}
+    same = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [4.0, 2.0])], "cluster int, features array<double>")
+    assert metrics.davies_bouldin_sql(same).first()[0] == 0.0
+    assert metrics.davies_bouldin_sql(same.filter("cluster = 1")).first()[0] == 0.0
+    assert metrics.davies_bouldin_sql(same.limit(0)).first()[0] == 0.0
+    assert metrics.ari(metrics.contingency(one.limit(0))).first()[0] == 1.0
+
+
+def test_label_codes_beyond_the_broadcast_bound(spark, monkeypatch):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "c string")
+    want = sorted(relational.label_encode(df, "c", "code").collect(), key=repr)
+    monkeypatch.setattr(relational, "BROADCAST_CLASSES", -1)
+    assert sorted(relational.label_encode(df, "c", "code").collect(), key=repr) == want == [("a", 0), ("b", 1), ("b", 1), (None, None)]
