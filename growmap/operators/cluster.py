@@ -6,14 +6,16 @@ Labels start at 1 and are numbered by the least neuron of each cluster.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from growmap.functions import grid
-from growmap.operators import maps
-from growmap.operators.bmu import Codebook
+from growmap.operators import maps, metrics
+from growmap.operators.bmu import Codebook, distances2, matrix
 
 
 def renumber(labels: np.ndarray) -> np.ndarray:
@@ -233,17 +235,91 @@ def cluster_info(labels: DataFrame, assigned: DataFrame) -> DataFrame:
     return both.groupBy("cluster").agg(F.count("*").alias("n_neurons"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_samples"), F.sort_array(F.collect_list(F.struct("x", "y"))).alias("positions"))
 
 
-def elbow(rows: DataFrame, ks: range = range(2, 11), features: str = "features", seed: int = 0) -> DataFrame:
-    """(k, inertia, silhouette) of k-means on the rows themselves; the silhouette is that of squared distances,
-    which needs only sums and so stays distributed."""
+#: Values of one block of rows that all rows are measured against.
+BLOCK_VALUES = 1 << 20
+
+
+def row_silhouettes(labelled: DataFrame, features: str = "features", labels: str = "labels") -> DataFrame:
+    """(position, silhouette): the Euclidean silhouette of rows under each labelling in the array ``labels``.
+
+    Every row is measured against all rows, in blocks of BLOCK_VALUES values: a scan for each block adds, by
+    row, labelling and cluster, the distances to the block's rows. The work grows with the square of the
+    rows, as the definition has it; no task holds more than a batch and a block. NULL features are no rows."""
+    rows = labelled.select(F.xxhash64(features, labels).alias("h"), F.col(features).cast("array<double>").alias("f"), F.col(labels).cast("array<int>").alias("l")).filter("f IS NOT NULL").persist()
+    try:
+        n, dim, kinds = rows.agg(F.count("*"), F.max(F.size("f")), F.max(F.size("l"))).first()
+        if not n:
+            return rows.sparkSession.createDataFrame([], "position int, silhouette double")
+        width = rows.select(F.explode("l").alias("l")).agg(F.max("l")).first()[0] + 1
+        sizes = np.zeros((kinds, width))
+        for r in rows.select(F.posexplode("l").alias("k", "l")).groupBy("k", "l").count().collect():
+            sizes[r.k, r.l] = r["count"]
+        blocks = -(-n * dim // BLOCK_VALUES)
+        parts = []
+        for b in range(blocks):
+            block = rows.filter(F.pmod("h", F.lit(blocks)) == b).select("f", "l").toArrow()
+            y = matrix(block.column(0).combine_chunks(), dim)
+            at = np.array(block.column(1).to_pylist(), int).reshape(-1, kinds)
+            hot = np.zeros((len(y), kinds * width))
+            for k in range(kinds):
+                hot[np.arange(len(y)), k * width + at[:, k]] = 1.0
+
+            def run(batches, y=y, hot=hot):
+                for part in batches:
+                    x = matrix(part.column(1), dim)
+                    for i in range(0, len(x), 1024):
+                        sums = np.sqrt(distances2(x[i : i + 1024], y)) @ hot
+                        yield pa.RecordBatch.from_arrays([part.column(0).slice(i, 1024), part.column(2).slice(i, 1024), pa.array(list(sums), pa.list_(pa.float64()))], ["h", "l", "sums"])
+
+            parts.append(rows.select("h", "f", "l").mapInArrow(run, "h bigint, l array<int>, sums array<double>"))
+        # equal rows share h and their sums; each counts
+        long = reduce(DataFrame.unionAll, parts).select("h", "l", F.posexplode("sums").alias("at", "s"))
+        both = long.groupBy("h", "l", "at").agg(F.sum("s").alias("s"), (F.count("*") / F.lit(blocks)).alias("times"))
+        size = F.element_at(F.lit(sizes.ravel().tolist()), F.col("at") + 1)
+        both = both.withColumns({"position": F.floor(F.col("at") / width).cast("int"), "c": F.col("at") % width, "size": size, "mean_s": F.col("s") / F.col("times")}).filter("size > 0")
+        own = F.col("c") == F.get("l", F.col("position"))
+        ab = both.groupBy("h", "l", "position").agg(
+            F.max("times").alias("times"),
+            F.max(F.when(own, F.col("size"))).alias("n"),
+            F.max(F.when(own, F.try_divide(F.col("mean_s"), F.col("size") - 1))).alias("a"),
+            F.min(F.when(~own, F.col("mean_s") / F.col("size"))).alias("b"),
+        )
+        s = F.when((F.col("n") < 2) | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+        got = ab.groupBy("position").agg((F.sum(s * F.col("times")) / F.sum("times")).alias("silhouette")).collect()
+    finally:
+        rows.unpersist()
+    return labelled.sparkSession.createDataFrame([(r.position, r.silhouette) for r in sorted(got)], "position int, silhouette double")
+
+
+def _row_fits(rows: DataFrame, ks: list[int], features: str, seed: int) -> tuple[DataFrame, list[float]]:
+    """rows + labels, an array of the clusters by each k, and the costs of the fits."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    df = rows.select(array_to_vector(F.col(features).cast("array<double>")).alias("features")).cache()
-    out = []
+    df = rows.withColumn("__v", array_to_vector(F.col(features).cast("array<double>")))
+    points, costs = df.select("__v").cache(), []
     for k in ks:
-        model = KMeans(k=k, seed=seed).fit(df)
-        out.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator().evaluate(model.transform(df)))))
-    df.unpersist()
-    return rows.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
+        model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol=f"__k{k}").fit(points)
+        costs.append(float(model.summary.trainingCost))
+        df = model.transform(df)
+    points.unpersist()
+    return df.select(*rows.columns, F.array(*[F.col(f"__k{k}") for k in ks]).alias("labels")), costs
+
+
+def elbow(rows: DataFrame, ks: range = range(2, 11), features: str = "features", seed: int = 0) -> DataFrame:
+    """(k, inertia, silhouette) of k-means on the rows themselves; the silhouette is the Euclidean one."""
+    labelled, costs = _row_fits(rows, list(ks), features, seed)
+    s = {r.position: r.silhouette for r in row_silhouettes(labelled, features).collect()}
+    return rows.sparkSession.createDataFrame([(k, c, s.get(i, 0.0)) for i, (k, c) in enumerate(zip(ks, costs))], "k int, inertia double, silhouette double")
+
+
+def elbow_fits(rows: DataFrame, label: str, ks: range = range(2, 11), fixed_k: int = 3, features: str = "features", seed: int = 0) -> DataFrame:
+    """(fit, k, inertia, silhouette, purity) of the k with the greatest silhouette (ties: the least) and of
+    ``fixed_k``, against the classes in ``label``."""
+    profile = {r.k: r for r in elbow(rows, ks, features, seed).collect()}
+    best = max(profile, key=lambda k: (profile[k].silhouette, -k))
+    two = [best, fixed_k]
+    labelled, costs = _row_fits(rows, two, features, seed)
+    s = [r.silhouette for r in row_silhouettes(labelled, features).collect()]
+    p = [metrics.purity(metrics.contingency(labelled.withColumn("cluster", F.get("labels", k)), "cluster", label)).first()[0] for k in range(2)]
+    return rows.sparkSession.createDataFrame(list(zip(["best", "fixed"], two, costs, s, p)), "fit string, k int, inertia double, silhouette double, purity double")

@@ -86,11 +86,6 @@ def hit_counts(spark, sf):
 
 
 def empty_neurons(spark, sf):
-    n = neurons_of(spark, sf)
-    return maps.empty_neurons(n, scored(spark, sf).filter("row_id % 50 = 0"))
-
-
-def empty_neurons_all(spark, sf):
     """Over all rows; prototype 16, ten in each dimension, is far from all of them."""
     near = neurons_of(spark, sf)
     far = near.filter("neuron_id = 0").select(F.lit(16).alias("neuron_id"), F.lit(0).alias("x"), F.lit(4).alias("y"), F.transform("weights", lambda w: F.lit(10.0)).alias("weights"))
@@ -206,6 +201,7 @@ def batch_update_builtin(spark, sf):
 
 def accumulate_errors(spark, sf):
     book = Codebook.collect(neurons_of(spark, sf))
+    book.errors, book.hits = book.errors + 5.0, book.hits + 7  # what was there before doesn't count
     update.accumulate_errors(rows_of(spark, sf), book, book, nan=False)
     return book.dataframe(spark).select("neuron_id", r6("error").alias("error"), "hits")
 
@@ -214,23 +210,41 @@ def _with_errors(spark, sf) -> DataFrame:
     return holed(neurons_of(spark, sf)).withColumn("error", ((F.col("neuron_id") * 37) % 23 + F.when(F.col("neuron_id").isin(9, 10), 60).otherwise(0)).cast("double"))
 
 
-def distribute_errors(spark, sf):
+def distribute_errors_builtin(spark, sf):
     full = neurons_of(spark, sf).withColumn("error", (F.col("neuron_id") * 11 % 17 + F.when(F.col("neuron_id").isin(5, 6, 9, 10), 50).otherwise(0)).cast("double"))
     return growth.distribute_sql(full, 55.0).withColumn("error", r6("error"))
 
 
-def growth_candidates(spark, sf):
+def distribute_errors(spark, sf):
+    """The trainer's own function."""
+    book = Codebook.collect(neurons_of(spark, sf))
+    book.errors = np.array([float(i * 11 % 17 + (50 if i in (5, 6, 9, 10) else 0)) for i in map(int, book.ids)])
+    growth.distribute_errors(book, 55.0)
+    return book.dataframe(spark).select("neuron_id", r6("error").alias("error"))
+
+
+def growth_candidates_builtin(spark, sf):
     return growth.candidates_sql(_with_errors(spark, sf), 12.0)
 
 
+def growth_candidates(spark, sf):
+    """The trainer's own function."""
+    n = _with_errors(spark, sf)
+    book = Codebook.collect(n)
+    errors = {r.neuron_id: r.error for r in n.select("neuron_id", "error").collect()}
+    book.errors = np.array([errors[int(i)] for i in book.ids])
+    g = growth.Grid(book)
+    return spark.createDataFrame([(g.ids[g.at[p]], float(g.error(p))) for p in growth.growth_candidates(g, 12.0)], "neuron_id int, error double")
+
+
 def growth_threshold_se(spark, sf):
     gt = update.growth_threshold(rows_of(spark, sf), 64, error=0.8)
     return spark.range(1).select(F.round(F.lit(gt), 6).alias("gt"))
 
 
 def growth_threshold_sf(spark, sf):
-    dim = rows_of(spark, sf).agg(F.max(F.size("features")).alias("d"))
-    return dim.select(r6(-F.log(F.lit(0.3)) * F.col("d")).alias("gt"))
+    dim = rows_of(spark, sf).agg(F.max(F.size("features"))).first()[0]
+    return spark.createDataFrame([(round(update.growth_threshold(None, dim, spread=0.3), 6),)], "gt double")
 
 
 def missingness_info(spark, sf):
@@ -371,18 +385,6 @@ def name_clusters(spark, sf):
 
 
 def outer_merge(spark, sf):
-    o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
-    parts = [o.filter(F.col("o_custkey") % 3 == k).groupBy("o_custkey", "year").agg(F.round(F.sum("o_totalprice"), 2).alias(f"total{k}")).filter(f"year <> {1993 + k}") for k in range(2)]
-    more = o.filter(F.col("o_custkey") % 2 == 0).groupBy("o_custkey", "year").agg(F.count("*").alias("n_orders"))
-    return relational.outer_merge([*parts, more], ["o_custkey", "year"])
-
-
-def missing_filter(spark, sf):
-    m = outer_merge(spark, sf)
-    return relational.missing_share(relational.drop_sparse_groups(m, "o_custkey", ["total0", "total1", "n_orders"], 50.0), "o_custkey", ["total0", "total1", "n_orders"]).withColumn("missing_pct", r6("missing_pct"))
-
-
-def outer_merge_all(spark, sf):
     """Series by the status of the order: F, O, and all others, which together are all orders."""
     o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
     total = lambda s: o.filter(F.col("o_orderstatus") == s).groupBy("o_custkey", "year").agg(F.round(F.sum("o_totalprice"), 2).alias(f"total_{s.lower()}"))
@@ -390,9 +392,9 @@ def outer_merge_all(spark, sf):
     return relational.outer_merge([total("F"), total("O"), other], ["o_custkey", "year"])
 
 
-def missing_filter_all(spark, sf):
+def missing_filter(spark, sf):
     columns = ["total_f", "total_o", "n_other"]
-    m = outer_merge_all(spark, sf)
+    m = outer_merge(spark, sf)
     return relational.missing_share(relational.drop_sparse_groups(m, "o_custkey", columns, 50.0), "o_custkey", columns).withColumn("missing_pct", r6("missing_pct"))
 
 
@@ -521,7 +523,7 @@ def ward_clusters(spark, sf):
 
 def ward_dendrogram(spark, sf):
     book = Codebook.collect(neurons_of(spark, sf))
-    return cluster.NeuronClustering("ward", n_clusters=3).fit(book, spark).dendrogram(spark)
+    return cluster.NeuronClustering("ward", n_clusters=3).fit(book, spark).dendrogram(spark).withColumn("height", r6("height"))
 
 
 def kmeans_clusters(spark, sf):
@@ -566,7 +568,7 @@ def unique_entities(spark, sf):
 
 
 def count_distinct(spark, sf):
-    return table(spark, sf, "orders").agg(F.count_distinct("o_custkey").alias("n_customers"), F.count_distinct(F.year("o_orderdate")).alias("n_years"))
+    return relational.count_distinct(table(spark, sf, "orders"), n_customers="o_custkey", n_years=F.year("o_orderdate"))
 
 
 def transform_features(spark, sf):

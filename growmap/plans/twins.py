@@ -26,15 +26,13 @@ CTE = {
     "rule": "SELECT k AS neuron_id, k % 3 AS x, k // 3 AS y FROM range(9) v(k)",
     "trd": "SELECT user_id, i, day, neuron_id, x, y, sqrt((t1 - 60.0 * neuron_id) ** 2 + (n1 - 0.5 * neuron_id) ** 2 + (total - 40.0 * neuron_id) ** 2 + (n - 0.7 * neuron_id) ** 2) AS distance FROM nb, rule WHERE i >= 2",
     "tr": "SELECT user_id, i::INT AS time_index, day AS end_time, neuron_id::INT AS neuron_id, x::INT AS x, y::INT AS y, distance FROM trd QUALIFY row_number() OVER (PARTITION BY user_id, i ORDER BY distance, neuron_id) = 1",
-    "og": "SELECT o_custkey, year(o_orderdate)::INT AS year, round(sum(o_totalprice), 2) AS total, count(*)::BIGINT AS c FROM orders GROUP BY 1, 2",
-    "om": "SELECT o_custkey, year, CASE WHEN o_custkey % 3 = 0 AND year <> 1993 THEN total END AS total0, CASE WHEN o_custkey % 3 = 1 AND year <> 1994 THEN total END AS total1, CASE WHEN o_custkey % 2 = 0 THEN c END AS n_orders FROM og WHERE o_custkey % 3 = 0 AND year <> 1993 OR o_custkey % 3 = 1 AND year <> 1994 OR o_custkey % 2 = 0",
     "oma": "SELECT o_custkey, year(o_orderdate)::INT AS year, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS total_f, round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS total_o, nullif(count(*) FILTER (coalesce(o_orderstatus NOT IN ('F', 'O'), true)), 0)::BIGINT AS n_other FROM orders GROUP BY 1, 2",
     "cl": "SELECT row_id, label, b.neuron_id, CASE WHEN b.neuron_id = 3 THEN 9 ELSE b.x END AS cluster FROM b",
     "ct": "SELECT cluster, label, count(*)::BIGINT AS n FROM cl GROUP BY ALL",
 }
 NEEDS = {
     "hn": ["n"], "dist": ["r", "n"], "ranked": ["dist"], "b": ["ranked"], "adj": ["n", "off"], "hadj": ["hn", "off"], "hd": ["hadj", "hn"], "hu": ["hn", "hd"], "ad": ["adj", "n"], "hits": ["n", "b"], "us": ["hits", "ad"],
-    "cube": ["n"], "gd": ["cube"], "nb": ["daily"], "trd": ["nb", "rule"], "tr": ["trd"], "om": ["og"], "cl": ["b"], "ct": ["cl"],
+    "cube": ["n"], "gd": ["cube"], "nb": ["daily"], "trd": ["nb", "rule"], "tr": ["trd"], "cl": ["b"], "ct": ["cl"],
 }
 
 
@@ -91,8 +89,7 @@ SQL: dict[str, str] = {
     "quantization_error": sql("b", "SELECT round(avg(distance), 6) AS qe FROM b"),
     "topographic_error": sql("ranked adj", "SELECT round(avg(CASE WHEN adj.k IS NULL THEN 1.0 ELSE 0.0 END), 6) AS te FROM ranked a JOIN ranked c ON a.row_id = c.row_id AND a.rank = 1 AND c.rank = 2 LEFT JOIN adj ON src_id = a.neuron_id AND dst_id = c.neuron_id"),
     "hit_counts": sql("hits", "SELECT * FROM hits"),
-    "empty_neurons": sql("n b", "SELECT neuron_id, x, y FROM n WHERE neuron_id NOT IN (SELECT neuron_id FROM b WHERE row_id % 50 = 0)"),
-    "empty_neurons_all": sql(
+    "empty_neurons": sql(
         "n r",
         """, m AS (SELECT neuron_id, x, y, w FROM n UNION ALL SELECT 16, 0, 4, list_transform(w, lambda v: 10.0::DOUBLE) FROM n WHERE neuron_id = 0),
         d AS (SELECT row_id, neuron_id, row_number() OVER (PARTITION BY row_id ORDER BY list_sum(list_transform(list_zip(f, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), neuron_id) AS rank FROM r, m)
@@ -126,7 +123,14 @@ SQL: dict[str, str] = {
         g AS (SELECT src_id, dst_id, d.error FROM adj JOIN e d ON d.neuron_id = src_id AND NOT d.edge AND d.error >= 55 JOIN e t ON t.neuron_id = dst_id AND t.edge)
         SELECT neuron_id, round(CASE WHEN neuron_id IN (SELECT src_id FROM g) THEN error / 2 ELSE error END + coalesce((SELECT sum(g.error / 12) FROM g WHERE dst_id = neuron_id), 0), 6) AS error FROM e""",
     ),
+    "distribute_errors_builtin": sql(
+        "n adj",
+        """, e AS (SELECT neuron_id, (neuron_id * 11 % 17 + CASE WHEN neuron_id IN (5, 6, 9, 10) THEN 50 ELSE 0 END)::DOUBLE AS error, (SELECT count(*) FROM adj WHERE src_id = neuron_id) < 6 AS edge FROM n),
+        g AS (SELECT src_id, dst_id, d.error FROM adj JOIN e d ON d.neuron_id = src_id AND NOT d.edge AND d.error >= 55 JOIN e t ON t.neuron_id = dst_id AND t.edge)
+        SELECT neuron_id, round(CASE WHEN neuron_id IN (SELECT src_id FROM g) THEN error / 2 ELSE error END + coalesce((SELECT sum(g.error / 12) FROM g WHERE dst_id = neuron_id), 0), 6) AS error FROM e""",
+    ),
     "growth_candidates": sql("hn hadj", "SELECT neuron_id, error FROM (SELECT neuron_id, ((neuron_id * 37) % 23 + CASE WHEN neuron_id IN (9, 10) THEN 60 ELSE 0 END)::DOUBLE AS error, (SELECT count(*) FROM hadj WHERE src_id = neuron_id) AS c FROM hn) WHERE error > 12 AND c < 6"),
+    "growth_candidates_builtin": sql("hn hadj", "SELECT neuron_id, error FROM (SELECT neuron_id, ((neuron_id * 37) % 23 + CASE WHEN neuron_id IN (9, 10) THEN 60 ELSE 0 END)::DOUBLE AS error, (SELECT count(*) FROM hadj WHERE src_id = neuron_id) AS c FROM hn) WHERE error > 12 AND c < 6"),
     "growth_threshold_se": sql("r", "SELECT round(0.8::DOUBLE * sqrt(sum(v)), 6) AS gt FROM (SELECT var_samp(v) AS v FROM (SELECT unnest(f) AS v, unnest(range(1, len(f) + 1)) AS dim FROM r) GROUP BY dim)"),
     "growth_threshold_sf": sql("r", "SELECT round(-ln(0.3::DOUBLE) * max(len(f)), 6) AS gt FROM r"),
     "missingness_info": sql("rn", "SELECT dim::INT AS dim, round(avg(CASE WHEN v IS NULL THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS rate, round((1 - avg(CASE WHEN v IS NULL THEN 1.0::DOUBLE ELSE 0.0 END)) ** 2, 6) AS weight FROM (SELECT unnest(f) AS v, unnest(range(1, len(f) + 1)) AS dim FROM rn) GROUP BY dim"),
@@ -149,10 +153,8 @@ SQL: dict[str, str] = {
     "decade_bucket": "SELECT (year(o_orderdate) // 10 * 10)::INT AS decade, (CASE WHEN year(o_orderdate) >= 1995 THEN 1995 WHEN year(o_orderdate) >= 1990 THEN 1990 WHEN year(o_orderdate) >= 1980 THEN 1980 END)::INT AS bucket, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2",
     "snapshot_clusters": sql("tr", ", s AS (SELECT *, end_time + 1990 AS year, count(*) OVER (PARTITION BY end_time) AS c FROM tr) SELECT ((year // 10) * 10)::INT AS decade, (CASE WHEN c < 2 OR neuron_id = 1 OR year // 10 NOT IN (199, 200) THEN 1 ELSE neuron_id % 3 + 2 END)::INT AS cluster, count(*)::BIGINT AS n FROM s GROUP BY 1, 2"),
     "name_clusters": "WITH m AS (SELECT (c_custkey % 9)::INT AS cluster, avg(c_acctbal) AS v FROM customer GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY v, cluster) - 1 AS r FROM m) SELECT cluster, round(v, 6) AS mean_value, ['low', 'middle', 'high'][(r // 3 + 1)::INT] || CASE WHEN r % 3 > 0 THEN ' (2)' ELSE '' END AS name FROM r",
-    "outer_merge": sql("om", "SELECT * FROM om"),
-    "missing_filter": sql("om", ", m AS (SELECT o_custkey, count(*)::BIGINT AS n_rows, (3 * count(*) - count(total0) - count(total1) - count(n_orders)) * 100.0::DOUBLE / (3 * count(*)) AS pct FROM om GROUP BY 1) SELECT o_custkey, n_rows, round(pct, 6) AS missing_pct FROM m WHERE pct <= 50"),
-    "outer_merge_all": sql("oma", "SELECT * FROM oma"),
-    "missing_filter_all": sql("oma", ", m AS (SELECT o_custkey, count(*)::BIGINT AS n_rows, (3 * count(*) - count(total_f) - count(total_o) - count(n_other)) * 100.0::DOUBLE / (3 * count(*)) AS pct FROM oma GROUP BY 1) SELECT o_custkey, n_rows, round(pct, 6) AS missing_pct FROM m WHERE pct <= 50"),
+    "outer_merge": sql("oma", "SELECT * FROM oma"),
+    "missing_filter": sql("oma", ", m AS (SELECT o_custkey, count(*)::BIGINT AS n_rows, (3 * count(*) - count(total_f) - count(total_o) - count(n_other)) * 100.0::DOUBLE / (3 * count(*)) AS pct FROM oma GROUP BY 1) SELECT o_custkey, n_rows, round(pct, 6) AS missing_pct FROM m WHERE pct <= 50"),
     "anti_filter": "SELECT n_nationkey, n_name FROM nation WHERE n_name NOT IN ('FRANCE', 'GERMANY')",
     "conditional_null": "SELECT o_orderkey, year(o_orderdate)::INT AS year, CASE WHEN year(o_orderdate) >= 1995 THEN o_totalprice END AS o_totalprice FROM orders",
     "label_encode": "SELECT event_type, (dense_rank() OVER (ORDER BY event_type) - 1)::INT AS code, count(*)::BIGINT AS n FROM events GROUP BY 1",

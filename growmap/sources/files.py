@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,17 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary
+    folder serves a local session; on a cluster that is an error."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="growmap-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
 def _flat(df: DataFrame, array: str, names: list[str] | None = None) -> DataFrame:
     """An array column as columns, for CSV."""
     n = len(names) if names else (df.agg(F.max(F.size(array))).first()[0] or 0)

@@ -6,7 +6,9 @@ a folder with the same pages as files; a failed fetch is repeated with growing p
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import time
 import urllib.parse
 import urllib.request
@@ -20,15 +22,33 @@ def chunks(values: list, n: int) -> list[list]:
     return [values[k : k + n] for k in range(0, len(values), n)]
 
 
+def page_file(base: str, path: str, page: int | str):
+    """File system and path of a page in a folder; long paths are named by their digest."""
+    from pyarrow import fs
+
+    name = path.replace("/", "_").replace(";", "-")
+    name = name if len(name) < 100 else hashlib.sha256(name.encode()).hexdigest()
+    base = re.sub(r"^file:/(?!/)", "file:///", base)
+    system, root = fs.FileSystem.from_uri(base) if "://" in base else (fs.LocalFileSystem(), base)
+    return system, f"{root}/{name}_p{page}.json"
+
+
+def write_page(base: str, path: str, page: int, content: list) -> None:
+    system, at = page_file(base, path, page)
+    system.create_dir(at.rpartition("/")[0])
+    with system.open_output_stream(at) as f:
+        f.write(json.dumps(content).encode())
+
+
 def fetch(base: str, path: str, query: dict[str, str], tries: int = 3, pause: float = 1.0):
     for k in range(tries):
         try:
             if base.startswith(("http://", "https://")):
                 with urllib.request.urlopen(f"{base}/{path}?{urllib.parse.urlencode(query)}", timeout=60) as r:
                     return json.load(r)
-            name = path.replace("/", "_").replace(";", "-")
-            with open(f"{base}/{name}_p{query['page']}.json", encoding="utf-8") as f:
-                return json.load(f)
+            system, at = page_file(base, path, query["page"])
+            with system.open_input_stream(at) as f:
+                return json.loads(f.read())
         except OSError:
             if k == tries - 1:
                 raise

@@ -18,5 +18,5 @@ def score(stream: DataFrame, model: GrowingMap) -> DataFrame:
 def drift(scored: DataFrame, time: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(window_start, n, qe) by event time; rows later than ``late`` are left out, and closed windows leave
     the state."""
-    w = scored.withWatermark(time, late).groupBy(F.window(time, window).alias("w"))
+    w = scored.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window).alias("w"))
     return w.agg(F.count("*").alias("n"), F.avg("distance").alias("qe")).select(F.col("w.start").alias("window_start"), "n", "qe")

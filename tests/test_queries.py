@@ -46,7 +46,7 @@ def test_runs(spark, name):
 def test_empty_neurons_of_all_rows(spark):
     from growmap.plans import queries
 
-    empty = {r.neuron_id for r in registry.QUERIES["empty_neurons_all"](spark, SF).collect()}
+    empty = {r.neuron_id for r in registry.QUERIES["empty_neurons"](spark, SF).collect()}
     hit = {r.neuron_id for r in queries.scored(spark, SF).select("neuron_id").distinct().collect()}
     assert empty == set(range(17)) - hit and 16 in empty
 
@@ -57,5 +57,5 @@ def test_elbow_tries_the_default_range(spark):
 
 def test_outer_merge_of_all_customers(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet")
-    got = {r.o_custkey for r in registry.QUERIES["outer_merge_all"](spark, SF).collect()}
+    got = {r.o_custkey for r in registry.QUERIES["outer_merge"](spark, SF).collect()}
     assert got == {r.o_custkey for r in orders.select("o_custkey").distinct().collect()}
