@@ -6,6 +6,7 @@ import json
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -490,6 +491,52 @@ def test_html_small_cases(spark, tables):
     assert len(html.main_text("<article>" + "<p>w " * 20_000)) > 50_000
 
 
+#: Pages in layouts and words that the labelled ones don't have; main text carries a mark.
+OTHER_PAGES = (
+    "<body class='no-sidebar'><div class='page-header'><a href=/>The Daily</a><p>news since 1900</p></div><ul class='nav-list'><li><a>Home</a><li><a>World</a><li><a>Sport</a></ul><div id='cookieConsent'><p>We use cookies to give you the best experience on our site, please accept them all or change settings.</p></div><main><h1 m>A long and winding road to somewhere</h1><p m>{45}</p><div class='ad-slot'><p>Buy the new phone now and save a lot of money today only in our shop.</p></div><p m>{70}</p><p m>Short one.</p></main><div class='comment-list'><p>{38}</p><p>I agree.</p></div><form><label>Your name</label><p>Leave a reply below and we will publish it</p></form><footer><p>All rights reserved by the publisher of this site.</p></footer>",
+    "<header><nav><a>One</a> <a>Two</a></nav></header><article class='story'><header><h1 m>Title of this story</h1></header><p m>{45}</p><p m>{70}</p><section class='comments'><h2>Comments</h2><p>{38}</p></section></article><aside><h3>Latest</h3><p>Something else that happened today in the city.</p></aside>",
+    "<div id='wrapper'><div id='navigation'><a>a</a> <a>b</a> <a>c</a></div><div class='entry-content'><h2 m>Heading words here</h2><p m>{45}</p><ul><li m>first thing to know</li><li m>second thing that you should know</li></ul><p m>{70}</p></div><div class='sidebar-widget'><p>{38}</p></div><div id='bottom'><p>imprint and so on</p></div></div>",
+    "<div><a>Start</a> <a>About us</a> <a>Contact</a></div><div><h1 m>What the wind brought</h1><div m>{45}</div><div m>{70}</div></div><div><a>Older posts here</a></div><div><a>Newer posts</a></div>",
+)
+
+
+def block_verdicts(page, with_markup=True):
+    m = html.default_model()
+    found = html.blocks(page, m.says if with_markup else None, labelled=True)
+    return [(html.is_main(m.tree, v), b) for b, v in zip(found, html.vectors(found))]
+
+
+def test_html_of_other_layouts():
+    pages = [re.sub(r"\{(\d+)\}", lambda m: " ".join(f"word{k}" for k in range(int(m[1]))), p).replace(" m>", " data-main>") for p in OTHER_PAGES]
+    got = [(kept == b.main) for p in pages for kept, b in block_verdicts(p)]
+    assert np.mean(got) >= 0.95
+
+
+def test_html_by_densities_alone(spark):
+    """The test pages with nothing but divs, headings and links: 0.97 of the blocks."""
+    rows = table(spark, "/root/testdata/sf0.01", "pages").collect()
+    bare = lambda p: re.sub(r"<(/?)(article|nav|footer|ul|li)>", r"<\1div>", p).replace(' class="ad"', "")
+    right = [(kept == (b.text in set(html.main_text(r.html).split("\n\n")))) for r in rows for kept, b in block_verdicts(bare(r.html), with_markup=False)]
+    assert np.mean(right) > 0.95
+
+
+def test_html_tree_uses_every_density():
+    assert {html.FEATURES[f] for f in html.default_model().tree["feature"] if f >= 0} >= {f for f in html.FEATURES if f.startswith(("words", "links")) and f != "links_before2"}
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a '", '<a "<a" ', "<div>", "<div></p>", "<li><p>", "<script ", "<!--", "<", "&amp", "</", "<p class='x' "])
+def test_html_of_long_malformed_pages(part):
+    start = time.perf_counter()
+    html.main_text(part * ((5 << 20) // len(part)))
+    assert time.perf_counter() - start < 10
+
+
+def test_html_beside_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<article><p>main text of it", "x", "y"), (1, "u", None, "x", "y")], "page_id int, url string, html string, text string, n_chars string")
+    got = html.extract(pages, keep=("page_id", "url", "text", "n_chars")).collect()
+    assert [tuple(r) for r in got] == [(1, "u", "main text of it", 15), (1, "u", "", 0)]
+
+
 def test_html_of_the_test_pages(spark):
     import html as h
 
