@@ -13,12 +13,14 @@ QUERIES = {
     "op8_outliers": outliers.op8,
     "op9_simhash": simhash.op9,
     "op10_html": html.op10,
+    "op4_near": decontaminate.op4_near,
 }
 
 SQL = {
     "op1_mixing": mixing.SQL,
     "op2_chat": chat.SQL,
     "op4_decontaminate": decontaminate.SQL,
+    "op4_near": decontaminate.NEAR_SQL,
     "op6_sharding": sharding.SQL,
     "op7_warc": warc.SQL,
 }
