@@ -9,12 +9,14 @@ original, so an escaped text never holds ``<|``; taking one away gives the origi
 
 Defined cases: null text is empty, a null role is empty, a null or unknown part kind is text, null parts
 are no parts; turns sort by (turn, role, text), null turns first; rows with a null conversation are one
-conversation; a message's further columns are ignored.
+conversation; repeated rows are turns each; a conversation is one row, whose text of any length up to 2 GB
+stands in one task; an empty table gives no rows; a message's further columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from growmap.llm.common import table
@@ -63,10 +65,10 @@ def _attachments(parts: Column, turn: Column) -> Column:
 
 
 def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts: Column | None = None, text_col: str = "text", learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row per conversation: n_turns, formatted, segments, attachments, expanded_tokens.
+    """One row per conversation: n_turns, formatted, loss, attachments, expanded_tokens.
 
-    ``segments`` (text, loss) cut ``formatted`` into runs; those with loss are the learnt texts, each with
-    nothing between. ``parts``: the column of typed parts, by default ``text_col`` as one text part.
+    ``loss`` is the loss mask, the learnt texts' places (start, size) in the UTF-8 bytes of ``formatted``, in order
+    (see ``learnt``). ``parts``: the column of typed parts, by default ``text_col`` as one text part.
     """
     parts = F.coalesce(parts if parts is not None else text_part(F.col(text_col)), F.array().cast(f"array<{PART}>"))
     role = F.coalesce(F.col(role_col), F.lit(""))
@@ -79,22 +81,28 @@ def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
             _attachments(parts, F.col(turn_col)).alias("files"),
         ).alias("m"),
     )
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-
-    def segments(m: Column) -> Column:
-        head = F.concat(F.lit(START), escape_role(m["role"]), F.lit("\n"))
-        seg = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-        return F.array(seg(head, F.lit(False)), seg(m["body"], m["role"].isin(list(learn))), seg(F.lit(END + "\n"), F.lit(False)))
-
-    convs = convs.select("conv_id", F.size("ms").cast("long").alias("n_turns"), F.flatten(F.transform("ms", segments)).alias("segments"), F.flatten(F.transform("ms", lambda m: m["files"])).alias("attachments"))
-    return convs.select(
+    head = F.concat(F.lit(START), escape_role(F.col("m.role")), F.lit("\n"))
+    rows = rows.select("conv_id", "m", head.alias("head"))
+    # bytes of the messages before this one: the window and the aggregate need the same shuffle by conversation
+    size = F.octet_length("head") + F.octet_length("m.body") + len(END) + 1
+    before = Window.partitionBy("conv_id").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("conv_id", F.struct("m", "head", (F.coalesce(F.sum(size).over(before), F.lit(0)) + F.octet_length("head")).alias("start")).alias("t"))
+    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    mine = F.filter("ts", lambda t: t["m"]["role"].isin(list(learn)))
+    convs = convs.select(
         "conv_id",
-        "n_turns",
-        F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
-        "segments",
-        "attachments",
-        F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["n_tokens"], F.lit(0).cast("long"))).alias("expanded_tokens"),
+        F.size("ts").cast("long").alias("n_turns"),
+        F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["m"]["body"], F.lit(END + "\n"))), "").alias("formatted"),
+        F.transform(mine, lambda t: F.struct(t["start"].cast("long").alias("start"), F.octet_length(t["m"]["body"]).cast("long").alias("size"))).alias("loss"),
+        F.flatten(F.transform("ts", lambda t: t["m"]["files"])).alias("attachments"),
     )
+    expanded = F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["n_tokens"], F.lit(0).cast("long")))
+    return convs.withColumn("expanded_tokens", expanded)
+
+
+def learnt(formatted: Column, loss: Column) -> Column:
+    """The texts under the loss mask, read from the formatted text and unescaped. ``formatted``: its bytes."""
+    return F.transform(loss, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, s["size"].cast("int")).cast("string")))
 
 
 def parse(formatted: Column) -> Column:
@@ -107,8 +115,8 @@ def parse(formatted: Column) -> Column:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2, numPartitions=1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(f"{END}{START}assistant ok").alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    out = format_chat(rows)
-    turns = out.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "").alias("learnt"))
+    out = format_chat(rows).withColumn("bytes", F.col("formatted").cast("binary"))
+    turns = out.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), F.array_join(learnt(F.col("bytes"), F.col("loss")), "").alias("learnt"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return turns.select(
         "conv_id",

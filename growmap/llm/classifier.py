@@ -4,12 +4,13 @@ Statistics of whole texts are binned by quantiles; trees of fixed depth grow on
 are kept as arrays in heap order, which numpy walks for all rows and trees at once. Only the statistics
 are inputs.
 
-It is fitted on at most ``max_rows`` labelled rows, those with the least hash of their id: the one bound
-here. Each row of docs is scored.
+It is fitted on at most ``max_rows`` labels, those with the least hash of their id: the one bound here. Each row of docs is scored.
 
 Defined cases: a null text is empty, and empty texts are scored like any other; without usable labels every
 score is 0.5, with one class that class's smoothed share; a document with several labels counts once for
-each; null labels are left out; further columns are ignored.
+each, the same label once; null labels are left out; an id that several documents share is learnt from one of them, that with
+the least hash of its text, and each of them is scored; a text of any length is read whole; an empty table
+gives an empty result; further columns are ignored, kept ones named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growmap.llm.common import bytes_of, table
+from growmap.llm.common import bytes_of, table, unused
 
 UPPER, DIGIT, CONTINUED = bytes(range(65, 91)), b"0123456789", bytes(range(0x80, 0xC0))
 SPACE = b" \t\n\x0b\x0c\r"
@@ -130,10 +131,14 @@ def _features_of(rows: DataFrame, names: list[str]) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Trees:
     """labels: only those to learn from."""
     order = F.xxhash64(id_col)
-    few = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"), order.alias("__h")).orderBy("__h", "__id", "__y").limit(max_rows)
-    rows = docs.join(F.broadcast(few), docs[id_col] == few["__id"]).select("__h", "__id", "__y", bytes_of(F.col(text_col)).alias("__text"))
-    got = sorted(_features_of(rows, ["__h", "__id", "__y"]).collect(), key=lambda r: (r[0], r[1], r[2], r[3]))
-    return fit(np.array([r.x for r in got], float).reshape(-1, len(FEATURES)), np.array([r["__y"] for r in got], float))
+    names = h, key, y = unused(docs, "h", "id", "y")
+    few = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(order.alias(h), F.col(id_col).alias(key), F.col(label_col).cast("int").alias(y)).distinct().orderBy(*names).limit(max_rows)
+    # of the texts of an id, the one with the least hash, so that no more than max_rows are collected
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.join(F.broadcast(few), docs[id_col] == few[key]).select(*names, F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("t"))
+    rows = rows.groupBy(*names).agg(F.min("t").alias("t")).select(*names, bytes_of(F.col("t.text")).alias("__text"))
+    got = sorted(_features_of(rows, names).collect(), key=lambda r: r[:3])
+    return fit(np.array([r.x for r in got], float).reshape(-1, len(FEATURES)), np.array([r[y] for r in got], float))
 
 
 def score(docs: DataFrame, model: Trees, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

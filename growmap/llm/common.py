@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Folders of this process's tables, for ``discard``.
 WRITTEN: list[str] = []
+#: Rows of one key beyond which it is joined apart from the others, unless the table has more of them.
+HOT_ROWS = 10_000
 #: Parts into which the large side of a salted join splits each key.
 SALTS = 32
 
@@ -21,13 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share. Only where it is unset,
-    as in tests, a temporary folder is set."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only where it is unset in a local
+    session, as in tests, a temporary folder is set; a cluster without it is an error."""
     sc = spark.sparkContext
-    if not (at := sc.getCheckpointDir()):
+    if not sc.getCheckpointDir():
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="growmap-"))
-        at = sc.getCheckpointDir()
-    return at.rstrip("/")
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that ``discard`` removes."""
+    WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,9 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Larger tables: the rows as a Parquet table in the shared folder, which outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    WRITTEN.append(path)
+    df.write.parquet(path := new_folder(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,6 +78,24 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], small_rows: in
     return big.join(small, on, how).drop("__salt", "__salt_r", *names.values())
 
 
+def join_hot(big: DataFrame, small: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join on a key without nulls that ``small`` has once, with the number of its rows in ``big`` in
+    column ``n``, which goes. Keys of more than HOT_ROWS rows, and more than a BROADCAST_ROWS-th of all, of
+    which there are less than BROADCAST_ROWS, are sent out, so their rows stay where they are; only the others
+    are shuffled. Both tables are read twice where there are any, so they should be stored ones."""
+    total, most = small.agg(F.sum(n), F.max(n)).first()
+    bound = max(HOT_ROWS, (total or 0) // max(1, BROADCAST_ROWS))
+    if (most or 0) <= bound:
+        return big.join(small.drop(n), key)
+    hot, rest = F.broadcast(small.filter(F.col(n) > bound).drop(n)), small.filter(F.col(n) <= bound).drop(n)
+    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names made longer than those of all columns of df."""
+    return ["_" * (max(map(len, df.columns), default=0) + 1) + name for name in names]
+
+
 def bytes_of(text: Column) -> Column:
     """UTF-8 bytes; null: none."""
     return F.coalesce(text, F.lit("")).cast("binary")

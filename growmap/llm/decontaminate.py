@@ -27,8 +27,8 @@ from growmap.llm.common import BROADCAST_ROWS, join_small, table, written
 
 #: What lies between words once A-Z are lower-case: all of ASCII but digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word before that.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same before that.
+ANY_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Item names in results up to which these are sent to every executor; beyond that the texts are shuffled.
 BROADCAST_NAMES = 200_000
@@ -48,7 +48,9 @@ def split_words(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    words = F.split(F.coalesce(text, F.lit("")), ANY_GAP, -1)
+    first, last = (F.element_at(words, 1) == "").cast("int"), (F.element_at(words, -1) == "").cast("int")
+    return (F.size(words) - first - F.when(F.size(words) > 1, last).otherwise(0)).cast("long")
 
 
 def text_key(text: Column) -> list[Column]:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from growmap.llm.common import cut, join_small, table, written
+from growmap.llm.common import cut, join_small, table, unused, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A hash has HASH_BITS bits, and each level of a histogram splits a range in 2**BITS parts.
@@ -85,8 +85,8 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     return state.select("source", "source_size", "target", "epochs", "below"), n
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.withColumns({"__size": n_words(F.col(text_col)), "__h": hash60(F.col(id_col)), "__source": F.col(source_col).cast("string")})
+def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, names: list[str]) -> DataFrame:
+    return docs.withColumns(dict(zip(names, (n_words(F.col(text_col)), hash60(F.col(id_col)), F.col(source_col).cast("string")))))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
@@ -98,14 +98,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     """
     keep = docs.columns if keep is None else keep
     compact = [c for c in keep if c != text_col]
-    few = keyed(docs, id_col, text_col, source_col).select(*compact, "__size", "__h", "__source")
+    size, h, source, *plans = unused(docs, "size", "h", "source", "source_size", "target", "epochs", "below")
+    few = keyed(docs, id_col, text_col, source_col, [size, h, source]).select(*compact, size, h, source)
     rows = written(few, "mix")
-    sources, n = plan(rows.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__h").alias("h")), weights, share, cap)
-    base = rows if text_col not in keep else keyed(docs, id_col, text_col, source_col).select(*keep, "__size", "__h", "__source")
-    sources = sources.select(F.col("source").alias("__source"), *[F.col(c).alias(f"__{c}") for c in ("source_size", "target", "epochs", "below")])
-    out = join_small(base, sources, ["__source"], n, salt=F.col("__h"))
-    copies = F.when(F.col("__size") > 0, F.col("__epochs") + (F.col("__h") < F.col("__below")).cast("long")).otherwise(F.lit(0).cast("long"))
-    made = {"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "copies": copies, "taken": F.col("__size") * copies}
+    sources, n = plan(rows.select(F.col(source).alias("source"), F.col(size).alias("size"), F.col(h).alias("h")), weights, share, cap)
+    base = rows if text_col not in keep else keyed(docs, id_col, text_col, source_col, [size, h, source]).select(*keep, size, h, source)
+    sources = sources.select(F.col("source").alias(source), *[F.col(c.lstrip("_")).alias(c) for c in plans])
+    out = join_small(base, sources, [source], n, salt=F.col(h))
+    source_size, target, epochs, below = map(F.col, plans)
+    copies = F.when(F.col(size) > 0, epochs + (F.col(h) < below).cast("long")).otherwise(F.lit(0).cast("long"))
+    made = {"size": F.col(size), "source_size": source_size, "target": target, "copies": copies, "taken": F.col(size) * copies}
     made = {prefix + k: v for k, v in made.items()}
     return out.select(*[c for c in keep if c not in made], *[v.alias(k) for k, v in made.items()])
 

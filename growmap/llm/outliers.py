@@ -4,7 +4,8 @@ Python counts five statistics of each whole text. The fixed rules come first; wh
 vector of four transformed statistics, and its distance is taken from a minimum-covariance-determinant
 estimate (MCD) of its language and source.
 
-The estimate starts from medians and quartile ranges and takes C-steps: all rows are binned by squared
+The estimate starts from medians and quartile ranges, exact ones of the statistics rounded to ROUNDED places,
+which have few values and come out the same in whatever order rows are met, and takes C-steps: all rows are binned by squared
 distance, each bin with its moments, and the bins up to a share ``keep_share`` of the group give the
 next mean and covariance. So a step is one aggregation over every row, with as many result rows as bins,
 and a hot group is summed where its rows are. ``FLOORS`` are the least standard deviations: statistics
@@ -14,7 +15,9 @@ Groups with fewer than ``min_rows`` vectors take the estimate of their language,
 these are smaller too, nothing is rejected.
 
 Defined cases: a null or wordless text has zero counts and fails the rules; null languages and sources are
-groups of their own; repeated rows count each; further columns are ignored.
+groups of their own; rows alike, ties in distance among them, get the same verdict, and repeated rows count
+each; a text of any length is counted whole; an empty table gives an empty result; further columns are
+ignored by ``rated`` and kept by ``clean_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growmap.llm.common import BROADCAST_ROWS, bytes_of, cut, join_small, table, written
+from growmap.llm.common import BROADCAST_ROWS, bytes_of, cut, join_small, table, unused, written
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
@@ -43,6 +46,8 @@ DIM = len(FLOORS)
 KEEP_SHARE, STEPS, TAIL = 0.75, 8, 1e-6
 #: Least vectors of a group: five for each dimension in the share that the estimate is made of.
 MIN_ROWS = math.ceil(5 * DIM / KEEP_SHARE)
+#: Decimal places of the statistics for the quartiles.
+ROUNDED = 3
 #: Bins of squared distances per doubling.
 BINS = 16
 
@@ -138,7 +143,7 @@ def fit_mcd(vectors: DataFrame, keep_share: float = KEEP_SHARE, min_rows: int =
         scale = (q[:, 2] - q[:, 0]) / 1.349
         return pd.DataFrame([{"g": k[0]} | _model(int(part["n"].iloc[0]), q[:, 1], np.diag(scale**2))])
 
-    quartiles = F.array(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000) for x in xs])
+    quartiles = F.array(*[F.percentile(F.round(x, ROUNDED), [0.25, 0.5, 0.75]) for x in xs])
     start = rows.groupBy("g").agg(F.count("*").alias("n"), quartiles.alias("q")).filter(F.col("n") >= min_rows)
     models = cut(start.groupBy("g").applyInPandas(begin, MODEL))
     n_groups = models.count()
@@ -191,13 +196,14 @@ def rated(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> Dat
 def clean_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the rejected rows. A verdict follows from text, language and source, so the rejected
     ones are named by those and sent out if few; else both sides shuffle."""
-    key = {"__k1": F.xxhash64(text_col), "__k2": F.xxhash64(F.lit(1), F.col(text_col)), "__lang": F.col("lang"), "__source": F.col("source")}
+    names = unused(docs, "k1", "k2", "lang", "source")
+    key = dict(zip(names, (F.xxhash64(text_col), F.xxhash64(F.lit(1), F.col(text_col)), F.col("lang"), F.col("source"))))
     own = docs.withColumns(key)
-    bad = rated(own, ("__k1", "__k2"), text_col).filter(~F.col("kept")).select("__k1", "__k2", F.col("lang").alias("__lang"), F.col("source").alias("__source")).distinct()
-    bad = written(bad, "rejected")
+    few = own.select(*[F.col(c).alias(c.lstrip("_")) for c in names], F.col(text_col).alias("text"))
+    bad = written(rated(few, ("k1", "k2")).filter(~F.col("kept")).select("k1", "k2", "lang", "source").distinct(), "rejected")
     n = bad.count()
-    small = bad.select(*[F.col(c).alias(f"{c}_") for c in key])
-    on = [own[c].eqNullSafe(small[f"{c}_"]) for c in key]
+    small = bad.toDF(*[f"{c}_" for c in names])
+    on = [own[c].eqNullSafe(small[f"{c}_"]) for c in names]
     return own.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, "left_anti").drop(*key)
 
 

@@ -3,12 +3,13 @@
 A row's shard follows from its key and the number of shards alone, without a table: the key seeds a
 generator that jumps from shard to shard. One shard more takes 1/(n+1) of the rows, all into itself.
 
-Slots number the rows of a shard without gaps. A shard is cut in ``buckets`` by hash; counts of the
+Slots number the rows of a shard without gaps. A shard is cut in buckets by hash; counts of the
 buckets give each its first slot, so no task ever sorts a whole shard.
 
-Defined cases: a null text has no bytes and checksum 0; null ids share one key, hence one shard;
-rows alike in id, size and checksum are interchangeable and take neighbouring slots; further columns
-are kept by ``shard``, those named like a result column replaced.
+Defined cases: a null text has no bytes and checksum 0; a text of any length counts whole; null ids share one
+key, hence one shard; rows alike in id, size and checksum are interchangeable and take neighbouring slots; an
+empty table gives an empty result; further columns are kept by ``shard``, whatever their names, but one named
+like the result is replaced.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from growmap.llm.common import bytes_of, table
+from growmap.llm.common import bytes_of, table, unused, written
 from growmap.llm.mixing import hash60
 
 #: The generator's multiplier, a fixed value of the published algorithm.
 STEP = 2862933555777941757
-BUCKETS = 256
+#: Least buckets of a shard, rows of a bucket, and rows alike that are dealt out together.
+BUCKETS, BUCKET_ROWS, ALIKE = 256, 50_000, 10_000
 OVERHEAD = 16
 
 
@@ -51,26 +53,39 @@ def shard_of(key: Column, n: int) -> Column:
 
 def shard(docs: DataFrame, n: int, id_col: str = "doc_id", out: str = "shard") -> DataFrame:
     """docs + shard; a narrow operation."""
-    rest = [c for c in docs.columns if c != out]
-    return docs.withColumn("__key", hash60(F.col(id_col))).select(*rest, shard_of(F.col("__key"), n).alias(out))
-
-
-def number(rows: DataFrame, shard_col: str, key: Column, order: list[str], buckets: int = BUCKETS, out: str = "slot") -> DataFrame:
-    """rows + slot: from 0 in each shard, by (bucket, order)."""
-    rows = rows.withColumn("__bucket", F.pmod(key, F.lit(buckets)).cast("int"))
-    counts = rows.groupBy(shard_col, "__bucket").agg(F.count("*").alias("__n"))
+    rest, key = [c for c in docs.columns if c != out], unused(docs, "key")[0]
+    return docs.withColumn(key, hash60(F.col(id_col))).select(*rest, shard_of(F.col(key), n).alias(out))
+
+
+def number(rows: DataFrame, shard_col: str, key: Column, order: list[str], out: str = "slot", buckets: int | None = None) -> DataFrame:
+    """rows + slot: from 0 in each shard, by (bucket, order). Rows should be short: those alike in all columns
+    are counted and travel as one, then are dealt out again ALIKE at a time, so however often a row is repeated
+    no task gets all. ``buckets`` of a shard, by default BUCKETS or one for each BUCKET_ROWS of its rows."""
+    alike = written(rows.groupBy(*rows.columns).agg(F.count("*").alias("__n")), "alike")
+    if buckets is None:
+        most = alike.groupBy(shard_col).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        buckets = max(BUCKETS, -(-most // BUCKET_ROWS))
+    alike = alike.withColumn("__bucket", F.pmod(key, F.lit(buckets)))
+    counts = alike.groupBy(shard_col, "__bucket").agg(F.sum("__n").alias("__sum"))
     before = Window.partitionBy(shard_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select(F.col(shard_col).alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    within = Window.partitionBy(shard_col, "__bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    ranked = rows.withColumn("__rank", F.row_number().over(within) - 1)
-    placed = ranked.join(firsts, (ranked[shard_col] == firsts["__s"]) & (ranked["__bucket"] == firsts["__b"]))
-    return placed.withColumn(out, (F.col("__first") + F.col("__rank")).cast("long")).drop("__s", "__b", "__bucket", "__first", "__rank")
+    firsts = counts.select(F.col(shard_col).alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__first"))
+    earlier = Window.partitionBy(shard_col, "__bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    placed = placed.join(firsts, (placed[shard_col] == firsts["__s"]) & (placed["__bucket"] == firsts["__b"])).withColumn("__first", F.col("__first") + F.col("__before"))
+    one = placed.filter("__n = 1").select(*rows.columns, F.col("__first").cast("long").alias(out))
+    if alike.filter("__n > 1").isEmpty():
+        return one
+    parts = placed.filter("__n > 1").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(ALIKE).cast("long"))))
+    spread = parts.repartition(F.xxhash64("__s", "__first", "__part"))
+    last = F.least(F.col("__part") + ALIKE, F.col("__n")) - 1
+    many = spread.select(*rows.columns, "__first", F.explode(F.sequence(F.col("__part"), last)).alias("__k"))
+    return one.unionByName(many.select(*rows.columns, (F.col("__first") + F.col("__k")).cast("long").alias(out)))
 
 
 def op6(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
     text = bytes_of(F.col("text"))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = shard(shard(rows, n), n + 1, out="grown_shard")
+    rows = written(shard(shard(rows, n), n + 1, out="grown_shard"), "sharded")
     rows = number(rows, "shard", hash60(F.col("doc_id")) + F.col("text_crc32"), ["doc_id", "size", "text_crc32"])
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 

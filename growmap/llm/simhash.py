@@ -9,7 +9,9 @@ the least of them, and linked to it as a star, which loses no connection as all
 Copies never multiply: they share a fingerprint, and links run between distinct fingerprints.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; one or two words are
-one shingle; repeated rows get the same result; a component whose ids are all null has a null id.
+one shingle; a text of any length is taken whole, its bits counted in blocks; repeated rows get the same
+result; a component whose ids are all null has a null id; an empty table gives an empty result; columns
+that aren't kept are ignored, and ``one_of_each`` keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growmap.llm.common import BROADCAST_ROWS, bytes_of, cut, join_small, table, written
+from growmap.llm.common import BROADCAST_ROWS, bytes_of, cut, join_hot, join_small, table, unused, written
 
 SHINGLE, SEED = 3, 42
 #: Shingles whose bits are counted at once.
@@ -85,8 +87,8 @@ def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (node, root): root is the least node reachable.
 
     Rounds of large star and small star: every node's greater neighbours, then its lesser ones and
-    itself, are linked to the least it knows. Minima are aggregated and joined back, so a node with
-    many neighbours never lands in one task. Each round's links replace the last ones on shared storage;
+    itself, are linked to the least it knows. Minima are aggregated and joined back, and those of nodes with
+    many neighbours are sent to these rather than shuffled with them (``join_hot``). Each round's links replace the last ones on shared storage;
     a round that changes none ends it, after about log2 of the nodes in a component."""
     links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
 
@@ -96,11 +98,11 @@ def components(links: DataFrame) -> DataFrame:
     was = state(links)
     while was[0]:
         both = links.union(links.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both.filter("v > u"), least, "u", "n").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
         lesser = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        least = lesser.groupBy("u").agg(F.min("v").alias("m"))
-        small = lesser.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        least = lesser.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(lesser, least, "u", "n").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
         links = cut(small.filter("a <> b").distinct())
         if (now := state(links)) == was:
             break
@@ -109,16 +111,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """rows (id, fp, ...) + component: the least id reachable over links within 2 bits."""
-    fps = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    """rows (id, fp, ...) + component: the least id reachable over links within 2 bits. Rows should be a stored
+    table. A fingerprint that many rows share, as copies and empty texts do, is joined apart from the others."""
+    fps = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     roots = components(star_links(fps.select("fp")))
-    linked = fps.join(roots, fps["fp"] == roots["node"]).select("fp", "least", "root")
+    linked = fps.join(roots, fps["fp"] == roots["node"]).select("fp", "least", "n", "root")
     linked = cut(linked.unionByName(fps.join(roots.select(F.col("root").alias("r")).distinct(), F.col("fp") == F.col("r"), "left_semi").withColumn("root", F.col("fp"))))
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    found = join_small(linked, least, ["root"], least.count(), salt=F.col("fp")).select("fp", "component", "root")
-    alone = fps.join(linked.select(F.col("fp").alias("f")), F.col("fp") == F.col("f"), "left_anti").select("fp", F.col("least").alias("component"), F.col("fp").alias("root"))
-    named = found.unionByName(alone).withColumnRenamed("fp", "__fp")
-    return rows.join(named, rows["fp"] == named["__fp"]).drop("__fp")
+    found = join_small(linked, least, ["root"], least.count(), salt=F.col("fp")).select("fp", "component", "root", "n")
+    alone = fps.join(linked.select(F.col("fp").alias("f")), F.col("fp") == F.col("f"), "left_anti").select("fp", F.col("least").alias("component"), F.col("fp").alias("root"), "n")
+    named = written(found.unionByName(alone), "named")
+    return join_hot(rows, named, "fp", "n")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -141,15 +144,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop = written(drop.select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct(), "copies")
     twice = rows.groupBy("id", "key").count().filter("count > 1").select(F.col("id").alias("__id"), F.col("key").alias("__key"))
     twice = written(twice.join(drop, twice["__id"].eqNullSafe(drop["__id"]) & (twice["__key"] == drop["__key"]), "left_anti"), "repeated")
-    own = docs.withColumn("__own", key)
+    mark = unused(docs, "own")[0]
+    own = docs.withColumn(mark, key)
 
     small = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
-    out = own.join(small, own[id_col].eqNullSafe(drop["__id"]) & (own["__own"] == drop["__key"]), "left_anti")
+    out = own.join(small, own[id_col].eqNullSafe(drop["__id"]) & (own[mark] == drop["__key"]), "left_anti")
     if twice.isEmpty():
-        return out.drop("__own")
-    on = [out[id_col].eqNullSafe(twice["__id"]), out["__own"] == twice["__key"]]
+        return out.drop(mark)
+    on = [out[id_col].eqNullSafe(twice["__id"]), out[mark] == twice["__key"]]
     small = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
-    return out.join(small, on, "left_anti").unionByName(out.join(small, on, "left_semi").dropDuplicates([id_col, "__own"])).drop("__own")
+    return out.join(small, on, "left_anti").unionByName(out.join(small, on, "left_semi").dropDuplicates([id_col, mark])).drop(mark)
 
 
 def hex16(fp: Column) -> Column:

@@ -11,7 +11,8 @@ out if few, so payloads are not shuffled then.
 
 Defined cases: a null payload is empty; rows that repeat the least id are responses as well; a null id is
 greater than any other, and the response where there is none; line breaks in URLs are percent-encoded;
-an empty table makes an archive without records; further columns are ignored.
+an empty table makes an archive without records; a payload is one string of a task, 2 GB at most; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from __future__ import annotations
 import gzip
 import io
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from growmap.llm.common import bytes_of, join_small, shared_dir, table, written
+from growmap.llm.common import bytes_of, join_small, new_folder, table, written
 
 MIN_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of small files read as one partition, and of payloads in one batch.
 PACK, BATCH = 32 << 20, 4 << 20
+#: Records of a file: a gigabyte of pages of 50 kB.
+FILE_RECORDS = 20_000
 #: Columns read from headers, in the order of the schema.
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to", "payload_length": "x-payload-length"}
 
@@ -74,9 +76,10 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     return rows.select(F.concat(head, line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"), F.col("block")).alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str, compression: str | None = None, **columns: str) -> None:
-    """``compression`` gzip makes each file one gzip stream, which the source reads as well."""
-    out = records(pages, **columns).write.option("lineSep", "\r\n\r\n")
+def write_warc(pages: DataFrame, path: str, compression: str | None = None, file_records: int = FILE_RECORDS, **columns: str) -> None:
+    """Files of at most ``file_records`` records, as each is read by one task. ``compression`` gzip makes each
+    file one gzip stream, which the source reads as well."""
+    out = records(pages, **columns).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records)
     (out.option("compression", compression) if compression else out).text(path)
 
 
@@ -191,27 +194,31 @@ class WarcSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """Records of the archives. Spark takes filters into Python sources only where its setting for that is on
+    when a query is planned, so it is switched on in this session and stays on."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
-def page_id(record_id: str) -> Column:
-    return F.regexp_extract(record_id, r"<urn:page:(-?\d+)>", 1).try_cast("long")
+def page_id(record_id: str, kind: str) -> Column:
+    """The id in a record's name, in the type of the pages' ids; none: null."""
+    name = F.regexp_extract(record_id, r"(?s)^<urn:page:(.*)>$", 1)
+    return F.when(~name.isin("", "null"), name).try_cast(kind)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(table(spark, sf_dir, "pages"), path)
-    got = read_warc(spark, path)
-    full = F.col("payload").isNotNull()
-    return got.select(
-        page_id("record_id").alias("page_id"),
-        F.when(full, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
-        F.when(full, F.sha2("payload", 256)).otherwise(F.replace("payload_digest", F.lit("sha256:"), F.lit(""))).alias("payload_digest"),
-        "record_type",
-        page_id("refers_to").alias("refers_to"),
-    )
+    """Responses are read with their payloads, which are measured; revisits by their headers alone. The record
+    type is pushed into both scans."""
+    pages, path = table(spark, sf_dir, "pages"), new_folder(spark, "warc")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    write_warc(pages, path)
+    names = [page_id("record_id", kind).alias("page_id"), "record_type", page_id("refers_to", kind).alias("refers_to")]
+    full = read_warc(spark, path).filter("record_type = 'response'")
+    full = full.select(*names, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+    bare = read_warc(spark, path, payload=False).filter("record_type = 'revisit'")
+    bare = bare.select(*names, F.col("payload_length").alias("payload_bytes"), F.replace("payload_digest", F.lit("sha256:"), F.lit("")).alias("payload_digest"))
+    return full.unionByName(bare).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
