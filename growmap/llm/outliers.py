@@ -207,5 +207,62 @@ def clean_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return own.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, "left_anti").drop(*key)
 
 
+#: Pairs of dimensions, the lower triangle.
+_LOWER = [(i, j) for i in range(DIM) for j in range(i + 1)]
+
+
+def _triangle(covariance: str) -> str:
+    """covariance (c00, c10, c11, ...) -> its Cholesky factor in columns l00, l10, ..., a column of it at a time."""
+    out = f"SELECT * FROM {covariance}"
+    for j in range(DIM):
+        inner = lambda i, j=j: "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        out = f"SELECT *, sqrt(c{j}{j}{inner(j)}) AS l{j}{j} FROM ({out})"
+        if j + 1 < DIM:
+            out = f"SELECT *, {', '.join(f'(c{i}{j}{inner(i)}) / l{j}{j} AS l{i}{j}' for i in range(j + 1, DIM))} FROM ({out})"
+    return out
+
+
+def _distance(rows: str) -> str:
+    """rows (v0.., m0.., l00..) + d2, the squared distance by forward substitution."""
+    for i in range(DIM):
+        rows = f"SELECT *, (v{i} - m{i}{''.join(f' - l{i}{k} * y{k}' for k in range(i))}) / l{i}{i} AS y{i} FROM ({rows})"
+    return f"SELECT *, {' + '.join(f'y{i} * y{i}' for i in range(DIM))} AS d2 FROM ({rows})"
+
+
+def statement(docs: str = "documents") -> str:
+    """DuckDB SQL: docs + STATS, base_failed, kept, row (a number)."""
+    radius = chi2_above(1 - KEEP_SHARE, DIM)
+    factor = KEEP_SHARE / (1 - chi2_tail(radius, DIM + 2))
+    vs = ", ".join(f"v{i}" for i in range(DIM))
+    floor = lambda i, j: f" + {FLOORS[i] ** 2!r}::DOUBLE" if i == j else ""
+    scale = lambda i: f"((q{i}[3] - q{i}[1]) / 1.349::DOUBLE) ** 2"
+    first = ", ".join([f"q{i}[2] AS m{i}" for i in range(DIM)] + [f"({scale(i) if i == j else '0'}{floor(i, j)})::DOUBLE AS c{i}{j}" for i, j in _LOWER])
+    moments = ", ".join([f"sum(v{i}) AS s{i}" for i in range(DIM)] + [f"sum(v{i} * v{j}) AS p{i}{j}" for i, j in _LOWER])
+    total = ", ".join([f"sum(s{i}) / sum(n) AS m{i}" for i in range(DIM)] + [f"{factor!r}::DOUBLE * (sum(p{i}{j}) / sum(n) - sum(s{i}) / sum(n) * (sum(s{j}) / sum(n))){floor(i, j)} AS c{i}{j}" for i, j in _LOWER])
+    state = ", ".join([f"m{i}" for i in range(DIM)] + [f"c{i}{j}" for i, j in _LOWER])
+    return rf"""
+    t AS (SELECT row_number() OVER () AS row, *, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM {docs}),
+    win AS (SELECT row, unnest(range(1, len(w) - 1)) AS k, unnest(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' '))) AS s FROM t WHERE len(w) > 2),
+    again AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest([k, k + 1, k + 2]) AS p FROM win WHERE (row, s) IN (SELECT (row, s) FROM win GROUP BY row, s HAVING count(*) > 1)) GROUP BY row),
+    st AS (SELECT t.*, len(w)::BIGINT AS n_words, length(regexp_replace(body, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(body, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN again USING (row)),
+    sv AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, ln(greatest(word_chars, 1) / greatest(n_words, 1)::DOUBLE) AS v0, sqrt(n_symbols / greatest(word_chars, 1)::DOUBLE) AS v1,
+        sqrt(n_dup_lines / greatest(len(lines), 1)::DOUBLE) AS v2, sqrt(n_repeat_words / greatest(n_words, 1)::DOUBLE) AS v3 FROM st),
+    gv AS (SELECT row, unnest([1, 2, 3]) AS level, unnest([to_json([lang, source])::VARCHAR, to_json([lang])::VARCHAR, 'all']) AS g, {vs} FROM sv WHERE NOT base_failed),
+    q AS (SELECT g, {', '.join(f"quantile_cont(round(v{i}, {ROUNDED}), [0.25, 0.5, 0.75]) AS q{i}" for i in range(DIM))} FROM gv GROUP BY g HAVING count(*) >= {MIN_ROWS}),
+    it AS (SELECT 0 AS step, g, {first} FROM q
+        UNION ALL (WITH ch AS ({_triangle('it')}), di AS ({_distance('SELECT step, gv.*, ch.* EXCLUDE (g, step) FROM gv JOIN ch ON ch.g = gv.g')}),
+        bi AS (SELECT step, g, floor({BINS} * log2(d2 + 0.001::DOUBLE)) AS bin, count(*) AS n, {moments} FROM di GROUP BY ALL),
+        cu AS (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY bin) - n AS before, ceil({KEEP_SHARE} * sum(n) OVER (PARTITION BY g)) AS least FROM bi)
+        SELECT step + 1, g, {total} FROM cu WHERE before < least AND step < {STEPS} GROUP BY step, g)),
+    mo AS ({_triangle(f"(SELECT g, {state} FROM it WHERE step = {STEPS})")}),
+    fd AS (SELECT row, arg_min(d2, level) AS d2 FROM ({_distance('SELECT gv.*, mo.* EXCLUDE (g) FROM gv JOIN mo ON mo.g = gv.g')}) GROUP BY row),
+    rated AS (SELECT sv.* EXCLUDE ({vs}, w, lines, body), NOT base_failed AND coalesce(d2 <= {chi2_above(TAIL, DIM)!r}::DOUBLE, true) AS kept FROM sv LEFT JOIN fd USING (row))"""
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated(table(spark, sf_dir, "documents"), ("doc_id",)).select("doc_id", *STATS, "base_failed", "kept")
+
+
+SQL = f"WITH RECURSIVE {statement()} SELECT doc_id, {', '.join(STATS)}, base_failed, kept FROM rated"

@@ -23,4 +23,6 @@ SQL = {
     "op4_near": decontaminate.NEAR_SQL,
     "op6_sharding": sharding.SQL,
     "op7_warc": warc.SQL,
+    "op8_outliers": outliers.SQL,
+    "op9_simhash": simhash.SQL,
 }

@@ -163,3 +163,83 @@ def hex16(fp: Column) -> Column:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), hex16(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+#: The multipliers of XXH64, fixed values of the published algorithm.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _u(n: int) -> str:
+    return f"{n}::UHUGEINT"
+
+
+def _mul(a: str, k: int) -> str:
+    return f"({a} * {_u(PRIMES[k - 1])} % {_u(1 << 64)})"
+
+
+def _rot(a: str, k: int) -> str:
+    """Bits rotated to the left; a product by 2^k modulo 2^64 - 1."""
+    return f"({a} * {_u(1 << k)} % {_u((1 << 64) - 1)})"
+
+
+def _add(*a: str) -> str:
+    return f"(({' + '.join(a)}) % {_u(1 << 64)})"
+
+
+def _lane(at: str, n: int) -> str:
+    """n bytes from place ``at`` of the hexadecimal text x, the last one first."""
+    return "('0x' || " + " || ".join(f"substr(x, 2 * ({at}) + {2 * (n - 1 - k) + 1}, 2)" for k in range(n)) + ")::UBIGINT::UHUGEINT"
+
+
+def _round(acc: str, lane: str) -> str:
+    return _mul(_rot(_add(acc, _mul(lane, 2)), 31), 1)
+
+
+def _fold(first: str, items: str, body: str) -> str:
+    return f"list_reduce(list_prepend({first}, {items}), lambda h, v: {body})"
+
+
+def xxh64_sql(strings: str, seed: int = SEED) -> str:
+    """CTEs in DuckDB SQL, the last of which is xx (s, h): XXH64 of the strings (s) of a table."""
+    first, size = _u((seed + PRIMES[4]) % (1 << 64)), 1 << 64
+    starts = [(seed + PRIMES[0] + PRIMES[1]) % size, (seed + PRIMES[1]) % size, seed, (seed - PRIMES[0]) % size]
+    lanes = ", ".join(f"list_transform(range(0, n - n % 32, 32), lambda o: {_lane(f'o + {8 * k}', 8)}) AS l{k}" for k in range(4))
+    folds = ", ".join(f"{_fold(_u(s), f'l{k}', _round('h', 'v'))} AS v{k}" for k, s in enumerate(starts))
+    merged = _add(*(_rot(f"v{k}", b) for k, b in enumerate((1, 7, 12, 18))))
+    for k in range(4):
+        merged = _add(_mul(f"xor({merged}, {_round(_u(0), f'v{k}')})", 1), _u(PRIMES[3]))
+    eights = _add(_mul(_rot(f"xor(h, {_round(_u(0), 'v')})", 27), 1), _u(PRIMES[3]))
+    fours = _add(_mul(_rot(f"xor(h, {_mul('v', 1)})", 23), 2), _u(PRIMES[2]))
+    ones = _mul(_rot(f"xor(h, {_mul('v', 5)})", 11), 1)
+    return f"""
+    xb AS (SELECT s, hex(encode(s)) AS x, strlen(s) AS n FROM {strings}),
+    xl AS (SELECT s, x, n, {lanes}, list_transform(range(n - n % 32, n - 7, 8), lambda o: {_lane('o', 8)}) AS eights,
+        list_transform(range(n - n % 8, n - 3, 4), lambda o: {_lane('o', 4)}) AS fours, list_transform(range(n - n % 4, n, 1), lambda o: {_lane('o', 1)}) AS ones FROM xb),
+    xv AS (SELECT *, {folds} FROM xl),
+    xm AS (SELECT s, eights, fours, ones, {_add(f"CASE WHEN n >= 32 THEN {merged} ELSE {first} END", 'n::UHUGEINT')} AS h FROM xv),
+    x8 AS (SELECT s, fours, ones, {_fold('h', 'eights', eights)} AS h FROM xm),
+    x4 AS (SELECT s, ones, {_fold('h', 'fours', fours)} AS h FROM x8),
+    x1 AS (SELECT s, {_fold('h', 'ones', ones)} AS h FROM x4),
+    xa AS (SELECT s, {_mul(f"xor(h, h // {_u(1 << 33)})", 2)} AS h FROM x1),
+    xc AS (SELECT s, {_mul(f"xor(h, h // {_u(1 << 29)})", 3)} AS h FROM xa),
+    xx AS (SELECT s, xor(h, h // {_u(1 << 32)})::UBIGINT AS h FROM xc)"""
+
+
+def statement(docs: str = "documents") -> str:
+    """CTEs in DuckDB SQL, the last of which is grouped: docs + fp (a whole number), component_id."""
+    upper = "".join(map(chr, range(65, 91)))
+    shingles = f"list_transform(range(1, len(w) - {SHINGLE - 2}), lambda k: array_to_string(w[k:k + {SHINGLE - 1}], ' '))"
+    return rf"""
+    t AS (SELECT row_number() OVER () AS row, *, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM {docs}),
+    g AS (SELECT row, unnest(CASE WHEN len(w) > {SHINGLE} THEN {shingles} WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM t),
+    gs AS (SELECT DISTINCT s FROM g), {xxh64_sql('gs')},
+    c AS (SELECT row, count(*) AS n, {', '.join(f"sum(h >> {k} & 1) AS b{k}" for k in range(64))} FROM g JOIN xx USING (s) GROUP BY row),
+    f AS (SELECT t.* EXCLUDE (w), coalesce({' + '.join(f"CASE WHEN 2 * b{k} > n THEN {1 << k}::UBIGINT ELSE 0 END" for k in range(64))}, 0)::UBIGINT AS fp FROM t LEFT JOIN c USING (row)),
+    k AS (SELECT DISTINCT fp FROM f),
+    e AS (SELECT a.fp AS a, b.fp AS b FROM k a JOIN k b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 2),
+    q AS (SELECT fp AS a, fp AS b FROM k UNION SELECT q.a, e.b FROM q JOIN e ON e.a = q.b),
+    m AS (SELECT a AS fp, min(doc_id) AS component_id, min(b) AS root FROM q JOIN f ON f.fp = q.b GROUP BY a),
+    grouped AS (SELECT f.*, component_id, root FROM f JOIN m USING (fp))"""
+
+
+SQL = f"WITH RECURSIVE {statement()} SELECT doc_id, printf('%016x', fp) AS fingerprint, component_id FROM grouped"
