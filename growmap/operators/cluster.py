@@ -67,20 +67,31 @@ def cut_tree(merges: np.ndarray, n: int, k: int) -> np.ndarray:
     return renumber(np.array([root(v) for v in range(n)]))
 
 
-def kmeans(spark: SparkSession, x: np.ndarray, k: int, seed: int = 0, tries: int = 10) -> tuple[np.ndarray, float]:
-    """Labels and cost of the best of ``tries`` seeded fits."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.linalg import Vectors
-
-    df = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x)], ["id", "features"]).coalesce(1).cache()
-    best = None
-    for t in range(tries):
-        model = KMeans(k=k, seed=seed + t).fit(df)
-        if best is None or model.summary.trainingCost < best[0] - 1e-12:
-            best = (model.summary.trainingCost, model)
-    rows = sorted((r.id, r.prediction) for r in best[1].transform(df).select("id", "prediction").collect())
-    df.unpersist()
-    return renumber(np.array([p for _, p in rows])), float(best[0])
+def kmeans(x: np.ndarray, k: int, seed: int = 0, tries: int = 10, epochs: int = 300) -> tuple[np.ndarray, float]:
+    """Labels and cost of the best of ``tries`` fits from seeded k-means++ centers. A cluster that loses all its
+    points takes the one farthest from its own center."""
+    rng, best, rows = np.random.default_rng(seed), None, np.arange(len(x))
+    k = min(k, len(x))
+    for _ in range(tries):
+        centers = x[[int(rng.integers(len(x)))]]
+        while len(centers) < k:
+            d = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(2).min(1)
+            pick = rng.choice(len(x), p=d / d.sum()) if d.sum() else rng.integers(len(x))
+            centers = np.vstack([centers, x[int(pick)]])
+        labels = None
+        for _ in range(epochs):
+            d = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(2)
+            now = d.argmin(1)
+            for c in np.setdiff1d(np.arange(k), now):
+                now[int((d[rows, now] * (np.bincount(now, minlength=k)[now] > 1)).argmax())] = c
+            if labels is not None and (now == labels).all():
+                break
+            labels = now
+            centers = np.stack([x[labels == c].mean(0) for c in range(k)])
+        cost = float(((x - centers[labels]) ** 2).sum())
+        if best is None or cost < best[1] - 1e-12:
+            best = labels, cost
+    return renumber(best[0]), best[1]
 
 
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
@@ -151,7 +162,7 @@ class NeuronClustering:
             self.merges = ward(x)
             label = lambda k: cut_tree(self.merges, n, k)
         else:
-            label = lambda k: kmeans(spark, x, k, self.seed)[0]
+            label = lambda k: kmeans(x, k, self.seed)[0]
         k = self.n_clusters
         if k is None:
             k = self.min_clusters

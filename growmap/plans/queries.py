@@ -580,9 +580,3 @@ def mean_positions(spark, sf):
     """Mean position of all users by day."""
     t = _trajectories(spark, sf)
     return t.groupBy("end_time").agg(F.count("*").alias("n"), r6(F.avg("x")).alias("mean_x"), r6(F.avg("y")).alias("mean_y"))
-
-
-def decade_clusters(spark, sf):
-    t = _trajectories(spark, sf).withColumn("year", F.col("end_time") + 1990)
-    book = Codebook.of([(k % 3, k // 3) for k in range(9)], [[60.0 * k, 0.5 * k, 40.0 * k, 0.7 * k] for k in range(9)])
-    return panel.decade_clusters(t, book, "year", [1990, 2000, 2010], 2, 4)

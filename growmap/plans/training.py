@@ -247,6 +247,27 @@ def k_profile(spark, sf):
     return got.k_profile(spark).select("k", r6("davies_bouldin").alias("davies_bouldin"), r6("silhouette").alias("silhouette"))
 
 
+def model_two_level(spark, sf):
+    """The model's own two-level clustering; the number of clusters is chosen."""
+    return _model(spark, sf).cluster_two_level(min_clusters=2, max_clusters=10)[0]
+
+
+def _kmeans(spark, **options) -> DataFrame:
+    book = _uneven_book()
+    got = cluster.NeuronClustering("kmeans", **options).fit(book, spark)
+    return spark.createDataFrame([(int(i), int(c)) for i, c in zip(book.ids, got.labels)], "neuron_id int, cluster int")
+
+
+def kmeans_three(spark, sf):
+    """k-means of nine neurons, the best of ten fits."""
+    return _kmeans(spark, n_clusters=3)
+
+
+def kmeans_chosen(spark, sf):
+    """The same with the number of clusters chosen by the Davies-Bouldin index."""
+    return _kmeans(spark, min_clusters=2, max_clusters=4)
+
+
 def cluster_n_strict(spark, sf):
     """Single neurons, the nearest centroids merged until four clusters are left."""
     book = _book(spark, sf)
@@ -265,7 +286,7 @@ def active_clusters(spark, sf):
     return spark.createDataFrame([(int(i), int(c)) for i, c in zip(part.ids, got.labels)], "neuron_id int, cluster int")
 
 
-def era_clusters(spark, sf):
+def decade_clusters(spark, sf):
     """The same in each decade."""
     t = _trajectories(spark, sf).withColumn("year", F.col("end_time") + 1990)
     return panel.decade_clusters(t, _uneven_book(), "year", [1990, 2000, 2010], 2, 4)

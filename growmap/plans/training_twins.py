@@ -101,6 +101,22 @@ _POINTS = "SELECT neuron_id AS i, unnest(w) AS v, unnest(range(1, len(w) + 1)) A
 _UNEVEN = "SELECT k AS i, dim, v::DOUBLE AS v FROM (SELECT k, unnest([1, 2, 3]) AS dim, unnest([k * k, (k * k * k) % 7, 3 * (k % 4)]) AS v FROM range(9) t(k))"
 
 
+def _kmeans(low: int, high: int) -> str:
+    """All partitions of the nine neurons are tried; of the numbers of clusters the one with the least
+    Davies-Bouldin index of its best partition is taken."""
+    return f"""WITH l AS ({_UNEVEN}), x AS (SELECT i, max(v) FILTER (dim = 1) AS a, max(v) FILTER (dim = 2) AS b, max(v) FILTER (dim = 3) AS c FROM l GROUP BY i),
+        p AS (SELECT k, p FROM range({low}, {high + 1}) t(k), range((k ** 9)::BIGINT) u(p)),
+        m AS (SELECT k, p, i, a, b, c, (p // (k ** i)::BIGINT) % k AS g FROM p, x),
+        cen AS (SELECT k, p, g, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, count(*) AS n FROM m GROUP BY ALL),
+        cost AS (SELECT k, p, -sum(n * (ma * ma + mb * mb + mc * mc)) AS cost FROM cen GROUP BY ALL HAVING count(*) = k),
+        best AS (SELECT k, arg_min(p, (round(cost, 9), p)) AS p FROM cost GROUP BY k),
+        bm AS (SELECT m.*, ma, mb, mc FROM m JOIN best USING (k, p) JOIN cen USING (k, p, g)),
+        s AS (SELECT k, g, any_value(ma) AS ma, any_value(mb) AS mb, any_value(mc) AS mc, avg(sqrt((a - ma) ** 2 + (b - mb) ** 2 + (c - mc) ** 2)) AS s FROM bm GROUP BY ALL),
+        db AS (SELECT k, avg(w) AS db FROM (SELECT u.k, u.g, max((u.s + v.s) / sqrt((u.ma - v.ma) ** 2 + (u.mb - v.mb) ** 2 + (u.mc - v.mc) ** 2)) AS w FROM s u JOIN s v ON u.k = v.k AND u.g <> v.g GROUP BY ALL) GROUP BY k),
+        f AS (SELECT i, min(i) OVER (PARTITION BY g) AS first FROM bm WHERE k = (SELECT arg_min(k, (db, k)) FROM db))
+        SELECT i::INT AS neuron_id, (dense_rank() OVER (ORDER BY first))::INT AS cluster FROM f"""
+
+
 def _metrics(clusters: str, more: str = "") -> str:
     """name, value of nmi, ari, purity, n_clusters of c (cluster, label)."""
     entropy = lambda by: f"(SELECT -sum(n / t.n * ln(n / t.n)) FROM (SELECT sum(n)::DOUBLE AS n FROM k GROUP BY {by}))"
@@ -203,10 +219,13 @@ SQL: dict[str, str] = {
     "k_profile": sql("n", _ward(_NEURONS, _POINTS, 2, 6) + " SELECT k::INT AS k, round(davies_bouldin, 6) AS davies_bouldin, round(silhouette, 6) AS silhouette FROM prof", recursive=True),
     "ward_clusters": sql("n", _ward(_NEURONS, _POINTS, 2, 10) + " SELECT n.neuron_id, x, y, cluster FROM picked JOIN n ON n.neuron_id = i", recursive=True),
     "ward_dendrogram": sql("n", _ward(_NEURONS, _POINTS, 2, 10) + " SELECT (step - 1)::INT AS step, any_value(ma)::INT AS a, any_value(mb)::INT AS b, round(any_value(height), 6) AS height, (count(*) FILTER (c = 15 + step))::INT AS size FROM wd WHERE step > 0 GROUP BY step", recursive=True),
+    "model_two_level": sql("n", _ward(_NEURONS, _POINTS, 2, 10) + " SELECT n.neuron_id, x, y, cluster FROM picked JOIN n ON n.neuron_id = i", recursive=True),
+    "kmeans_three": _kmeans(3, 3),
+    "kmeans_chosen": _kmeans(2, 4),
     "umatrix_clusters": _VALLEYS,
     "cluster_n_strict": _STRICT,
     "active_clusters": sql("tr", _ward("SELECT DISTINCT 0 AS g, neuron_id AS i FROM tr", _UNEVEN, 2, 4) + " SELECT i::INT AS neuron_id, cluster FROM picked", recursive=True),
-    "era_clusters": sql("tr", _ward("SELECT DISTINCT ((end_time + 1990) // 10 * 10)::INT AS g, neuron_id AS i FROM tr", _UNEVEN, 2, 4) + " SELECT g AS decade, i::INT AS neuron_id, cluster FROM picked", recursive=True),
+    "decade_clusters": sql("tr", _ward("SELECT DISTINCT ((end_time + 1990) // 10 * 10)::INT AS g, neuron_id AS i FROM tr", _UNEVEN, 2, 4) + " SELECT g AS decade, i::INT AS neuron_id, cluster FROM picked", recursive=True),
     "silhouette_neurons": BASE["silhouette"],
     "davies_bouldin_neurons": BASE["davies_bouldin"].replace(CTE["r"], "SELECT neuron_id AS row_id, x AS label, w AS f FROM n").replace("WITH ", f"WITH n AS ({CTE['n']}), ", 1),
     "row_silhouette": sql("r", ", d AS (SELECT a.row_id AS i, a.label AS c, b.label AS oc, avg(CASE WHEN a.row_id <> b.row_id THEN sqrt(list_sum(list_transform(list_zip(a.f, b.f), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) END) AS m FROM r a, r b GROUP BY ALL), s AS (SELECT i, max(m) FILTER (c = oc) AS a, min(m) FILTER (c <> oc) AS b FROM d GROUP BY 1) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM s"),
