@@ -131,9 +131,14 @@ def levels(lang: str = "lang", source: str = "source") -> Column:
 
 
 def fit_mcd(vectors: DataFrame, keep_share: float = KEEP_SHARE, min_rows: int = MIN_ROWS, steps: int = STEPS) -> DataFrame:
-    """vectors (gs: groups of the row, v0..) -> MODEL, a row for each group of min_rows or more."""
+    """vectors (gs: groups of the row, v0..) -> MODEL, a row for each group of min_rows or more that is the closest
+    such group of any row. Others, such as that of all rows where every language has enough, aren't estimated."""
     xs = [f"v{k}" for k in range(DIM)]
-    rows = vectors.select(F.explode("gs").alias("g"), *xs)
+    counts = cut(vectors.groupBy("gs").agg(F.count("*").alias("n")))
+    sized = counts.select("gs", "n", F.explode("gs").alias("g")).groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_rows)
+    closest = counts.select("gs", F.posexplode("gs").alias("k", "g")).join(sized, "g").groupBy("gs").agg(F.min_by("g", "k").alias("g"))
+    needed = cut(closest.select("g").distinct())
+    rows = join_small(vectors.select(F.explode("gs").alias("g"), *xs), needed, ["g"], needed.count(), salt=F.xxhash64(*xs))
     alpha = keep_share
     radius = chi2_above(1 - alpha, DIM)
     factor = alpha / (1 - chi2_tail(radius, DIM + 2))

@@ -86,8 +86,14 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_run(spark):
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 0 and "shard" in out.columns
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    rel = con.sql(corpus_pipeline.ORACLE_SQL)
+    out = corpus_pipeline.run(spark, sf)
+    assert sorted(out.columns) == sorted(rel.columns)
+    assert sorted(map(tuple, out.select(*rel.columns).collect()), key=repr) == sorted(rel.fetchall(), key=repr)
 
 
 ODD = [
