@@ -78,11 +78,14 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], small_rows: in
     return big.join(small, on, how).drop("__salt", "__salt_r", *names.values())
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, n: str) -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, key: str, n: str, rows: int | None = None) -> DataFrame:
     """Inner join on a key without nulls that ``small`` has once, with the number of its rows in ``big`` in
     column ``n``, which goes. Keys of more than HOT_ROWS rows, and more than a BROADCAST_ROWS-th of all, of
     which there are less than BROADCAST_ROWS, are sent out, so their rows stay where they are; only the others
-    are shuffled. Both tables are read twice where there are any, so they should be stored ones."""
+    are shuffled. Both tables are read twice where there are any, so they should be stored ones. ``rows``: those
+    of ``big`` where they are known; up to HOT_ROWS, no key can have more."""
+    if rows is not None and rows <= HOT_ROWS:
+        return big.join(small.drop(n), key)
     total, most = small.agg(F.sum(n), F.max(n)).first()
     bound = max(HOT_ROWS, (total or 0) // max(1, BROADCAST_ROWS))
     if (most or 0) <= bound:

@@ -99,10 +99,10 @@ def components(links: DataFrame) -> DataFrame:
     while was[0]:
         both = links.union(links.select(F.col("b"), F.col("a"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_hot(both.filter("v > u"), least, "u", "n").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
+        large = join_hot(both.filter("v > u"), least, "u", "n", was[0]).select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
         lesser = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = lesser.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_hot(lesser, least, "u", "n").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        small = join_hot(lesser, least, "u", "n", was[0]).select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
         links = cut(small.filter("a <> b").distinct())
         if (now := state(links)) == was:
             break
